@@ -83,12 +83,12 @@ def _(spark, sf):
 
 
 @query("b7_attribute_equivalence", """
-SELECT source AS key, count(*) FILTER (doc_id % 2 = 0) AS n_left, count(*) FILTER (doc_id % 2 = 1) AS n_right,
+SELECT lang AS key, count(*) FILTER (doc_id % 2 = 0) AS n_left, count(*) FILTER (doc_id % 2 = 1) AS n_right,
   count(*) FILTER (doc_id % 2 = 0) * count(*) FILTER (doc_id % 2 = 1) AS pairs
-FROM documents GROUP BY source HAVING count(*) FILTER (doc_id % 2 = 0) > 0 AND count(*) FILTER (doc_id % 2 = 1) > 0""")
+FROM documents GROUP BY lang HAVING count(*) FILTER (doc_id % 2 = 0) > 0 AND count(*) FILTER (doc_id % 2 = 1) > 0""")
 def _(spark, sf):
     l, r = document_sides(spark, sf)
-    return blk.equal_groups(l, r, "source")
+    return blk.equal_groups(l, r, "lang")
 
 
 @query("b7_attribute_equivalence_pairs", """

@@ -279,14 +279,14 @@ METHODS = ["random", "tpe", "qmc", "gps"]
 
 
 def paired_samples(spark, sf) -> DataFrame:
-    """Mean F1 of each sampler per (dataset, budget, seed) block, rounded to four digits."""
+    """Mean F1 of each sampler per (dataset, budget, seed) block, rounded to eight digits."""
     from kindred.operators.significance import paired
     wide = paired(trials(spark, sf), "sampler", "f1", ["dataset", "budget", "seed"], METHODS)
-    return wide.select("dataset", "budget", "seed", *[F.round(m, 4).alias(m) for m in METHODS])
+    return wide.select("dataset", "budget", "seed", *[F.round(m, 8).alias(m) for m in METHODS])
 
 
 SQL_PAIRED = SQL_TRIALS + """,
 wide AS MATERIALIZED (SELECT dataset, budget, seed, """ + ", ".join(
-    f"round(avg(f1) FILTER (sampler = '{m}'), 4) AS {m}" for m in METHODS) + """
+    f"round(avg(f1) FILTER (sampler = '{m}'), 8) AS {m}" for m in METHODS) + """
   FROM trials GROUP BY dataset, budget, seed HAVING """ + " AND ".join(
     f"count(*) FILTER (sampler = '{m}') > 0" for m in METHODS) + ")"

@@ -40,10 +40,10 @@ def _(spark, sf):
 
 
 @query("l2_leave_one_out_folds", f"""WITH {_TRAIN}, fl AS (SELECT unnest({DATASETS}) AS fold)
-SELECT fold, CAST((fold = dataset)::INT AS INT) AS is_test, count(*) AS n, round(sum(f1), 3) AS f1 FROM train, fl GROUP BY ALL""")
+SELECT fold, CAST((fold = dataset)::INT AS INT) AS is_test, count(*) AS n, round(sum(f1), 4) AS f1 FROM train, fl GROUP BY ALL""")
 def _(spark, sf):
     return ml.folds(training(spark, sf, False), DATASETS).groupBy("fold", "is_test").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("f1"), 3).alias("f1"))
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("f1"), 4).alias("f1"))
 
 
 @query("l2_fixed_split", f"""WITH {_TRAIN} SELECT dataset, lm, k, clustering, threshold, f1,

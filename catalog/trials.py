@@ -107,14 +107,14 @@ def _(spark, sf):
     return out.select("dataset", "trial", "part", "supp", "segment")
 
 
-@query("t10_budget_curve", f"WITH {_CURVE} SELECT sampler, dataset, budget, round(f1, 5) AS f1 FROM curve")
+@query("t10_budget_curve", f"WITH {_CURVE} SELECT sampler, dataset, budget, round(f1, 6) AS f1 FROM curve")
 def _(spark, sf):
-    return rounded(curve(spark, sf), 5)
+    return rounded(curve(spark, sf))
 
 
-@query("t11_grid_ratio", f"WITH {_CURVE} SELECT sampler, dataset, budget, round(f1, 5) AS f1, round(f1_ratio, 5) AS f1_ratio FROM ratio")
+@query("t11_grid_ratio", f"WITH {_CURVE} SELECT sampler, dataset, budget, round(f1, 6) AS f1, round(f1_ratio, 6) AS f1_ratio FROM ratio")
 def _(spark, sf):
-    return rounded(ratio(spark, sf), 5)
+    return rounded(ratio(spark, sf))
 
 
 @query("t12_budget_runtime", f"""WITH {SQL_TRIALS},
@@ -132,10 +132,10 @@ def _(spark, sf):
 @query("t13_curve_auc", f"""WITH {_CURVE},
 a AS (SELECT sampler, dataset, budget, (budget - lag(budget) OVER w) * (f1 + lag(f1) OVER w) / 2 AS s FROM curve
   WINDOW w AS (PARTITION BY sampler, dataset ORDER BY budget))
-SELECT sampler, dataset, round(coalesce(sum(s), 0), 4) AS area, round(coalesce(sum(s), 0) / (max(budget) * 100.0::DOUBLE), 6) AS auc FROM a GROUP BY ALL""")
+SELECT sampler, dataset, round(coalesce(sum(s), 0), 7) AS area, round(coalesce(sum(s), 0) / (max(budget) * 100.0::DOUBLE), 11) AS auc FROM a GROUP BY ALL""")
 def _(spark, sf):
     out = an.curve_auc(curve(spark, sf), ["sampler", "dataset"])
-    return out.withColumn("area", F.round("area", 4)).withColumn("auc", F.round("auc", 6))
+    return out.withColumn("area", F.round("area", 7)).withColumn("auc", F.round("auc", 11))
 
 
 @query("t14_mean_curve", f"WITH {_CURVE} SELECT sampler, budget, round(avg(f1), 5) AS avg_f1, round(avg(f1_ratio), 5) AS avg_f1_ratio FROM ratio GROUP BY ALL")

@@ -140,11 +140,11 @@ def cross_block(l: DataFrame, r: DataFrame, block_rows: int = 10_000) -> DataFra
     n_l = max(1, math.ceil(l.count() / block_rows))
     n_r = max(1, math.ceil(r.count() / block_rows))
     lc = l.select(*[F.col(c).alias(f"l_{c}") for c in l.columns],
-                  F.pmod(F.xxhash64("id"), F.lit(n_l)).alias("_lb"),
+                  F.pmod(F.xxhash64("id"), F.lit(n_l)).cast("int").alias("_lb"),
                   F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("_rb"))
     rc = r.select(*[F.col(c).alias(f"r_{c}") for c in r.columns],
                   F.pmod(F.xxhash64("id"), F.lit(n_r)).cast("int").alias("_rb"),
-                  F.explode(F.sequence(F.lit(0), F.lit(n_l - 1))).cast("long").alias("_lb"))
+                  F.explode(F.sequence(F.lit(0), F.lit(n_l - 1))).alias("_lb"))
     out = lc.join(rc, ["_lb", "_rb"]).drop("_lb", "_rb")
     return out.select(F.xxhash64("l_id", "r_id").alias("_id"), *out.columns)
 

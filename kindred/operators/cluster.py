@@ -124,96 +124,93 @@ def best_match(ed: DataFrame, by: list[str] | None = None) -> DataFrame:
             .select(*by, "l_id", F.col("b.r_id").alias("r_id"), (-F.col("b.s")).alias("sim")))
 
 
-def _fingerprint(df: DataFrame) -> tuple:
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _jump(parent: DataFrame, by: list[str], times: int = 2) -> DataFrame:
+    """Follow parent pointers: each step doubles the distance."""
+    for _ in range(times):
+        up = parent.select(*by, F.col("node").alias("root"), F.col("root").alias("_next"))
+        parent = parent.join(up, [*by, "root"]).select(*by, "node", F.col("_next").alias("root"))
+    return parent
 
 
-def _star(pairs: DataFrame, by: list[str], large: bool) -> DataFrame:
-    """Connect neighbours of u to the smallest of u and its neighbours.
+def _compose(maps: list[DataFrame], by: list[str]) -> DataFrame:
+    """First-level nodes to their final root through the maps of all rounds."""
+    out = maps[-1]
+    for m in reversed(maps[:-1]):
+        nxt = out.select(*by, F.col("node").alias("root"), F.col("root").alias("_next"))
+        out = m.join(nxt, [*by, "root"], "left").select(*by, "node", F.coalesce("_next", "root").alias("root"))
+    return out
 
-    ``large`` moves the larger neighbours of every node; the small form moves
-    the smaller neighbours and the node itself.  Minimum is a combining
-    aggregate, so a hub is never gathered in one task.
-    """
-    if large:
-        nbr = pairs.unionByName(pairs.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        nbr = pairs.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = nbr.groupBy(*by, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    met = nbr.join(low, [*by, "u"])
-    if large:
-        moved = met.where(F.col("v") > F.col("u")).select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        moved = met.select(*by, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select(*by, "u", F.col("m").alias("v")))
-    return moved.where(F.col("u") != F.col("v")).distinct()
+
+def _node_edges(ed: DataFrame, by: list[str]) -> DataFrame:
+    return ed.select(*by, F.concat(F.lit("l"), F.col("l_id").cast("string")).alias("u"),
+                     F.concat(F.lit("r"), F.col("r_id").cast("string")).alias("v"))
 
 
 def components(ed: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Connected components ``(by, side, id, cluster_id)`` of the records that have an edge.
 
-    Alternates large-star and small-star steps until the edge set is stable.
+    Rounds of contraction: every node points to the smallest of itself and its
+    neighbours (a combining aggregate, so a hub never meets in one task),
+    pointers are followed, and edges are rewritten to the nodes pointed at.
+    The graph shrinks every round; the loop ends when no edge is left.
     ``cluster_id`` is the smallest node name, ``l``/``r`` followed by the id.
     """
     by = by or []
-    start = ed.select(*by, F.concat(F.lit("l"), F.col("l_id").cast("string")).alias("u"),
-                      F.concat(F.lit("r"), F.col("r_id").cast("string")).alias("v")).distinct()
-    pairs = cut_lineage(start, "components")
-    seen = _fingerprint(pairs)
+    rest = cut_lineage(_node_edges(ed, by).distinct(), "components")
+    maps = []
     while True:
-        pairs = cut_lineage(_star(_star(pairs, by, True), by, False), "components")
-        now = _fingerprint(pairs)
-        if now == seen:
+        both = rest.unionByName(rest.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(*by, "u").agg(F.min("v").alias("m")).select(
+            *by, F.col("u").alias("node"), F.least("u", "m").alias("root"))
+        step = cut_lineage(_jump(low, by), "roots")
+        maps.append(step)
+        ru = step.select(*by, F.col("node").alias("u"), F.col("root").alias("ru"))
+        rv = step.select(*by, F.col("node").alias("v"), F.col("root").alias("rv"))
+        rest = cut_lineage(
+            rest.join(ru, [*by, "u"]).join(rv, [*by, "v"]).where(F.col("ru") != F.col("rv"))
+            .select(*by, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "components")
+        if not _any(rest):
             break
-        seen = now
-    leaves = pairs.select(*by, F.col("u").alias("node"), F.col("v").alias("cluster_id"))
-    roots = pairs.select(*by, F.col("v").alias("node"), F.col("v").alias("cluster_id")).distinct()
-    both = leaves.unionByName(roots)
-    return both.select(*by, F.substring("node", 1, 1).alias("side"),
-                       F.expr("substring(node, 2)").alias("id"), "cluster_id")
+    final = _compose(maps, by)
+    out = final.select(*by, F.substring("node", 1, 1).alias("side"), F.expr("substring(node, 2)").alias("id"),
+                       F.col("root").alias("cluster_id"))
+    return cut_lineage(out, "clusters") if len(maps) > 1 else out
 
 
 def spanning_forest(ed: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Maximum spanning forest: at every threshold it has the components of the full graph.
 
-    Each round every component picks its best outgoing edge; the picked edges
-    join the forest and the components merge.
+    Each round every component picks its best outgoing edge.  By the cut
+    property all picks belong to the forest of the total edge order.  Picks are
+    followed a few steps and the groups contract, whether or not all of a
+    round's picks are merged already.
     """
     by = by or []
-    all_edges = ed.select(*by, "l_id", "r_id", F.col("sim").cast("double").alias("sim"),
-                          F.concat(F.lit("l"), F.col("l_id").cast("string")).alias("u"),
-                          F.concat(F.lit("r"), F.col("r_id").cast("string")).alias("v"))
-    rest = cut_lineage(all_edges, "forest")
+    keys = ["l_id", "r_id", "sim"]
+    start = ed.select(*by, "l_id", "r_id", F.col("sim").cast("double").alias("sim"),
+                      F.concat(F.lit("l"), F.col("l_id").cast("string")).alias("u"),
+                      F.concat(F.lit("r"), F.col("r_id").cast("string")).alias("v"))
+    rest = cut_lineage(start, "forest")
     picked = []
     while _any(rest):
-        ends = rest.unionByName(rest.select(*by, "l_id", "r_id", "sim", F.col("v").alias("u"), F.col("u").alias("v")))
-        best = (ends.groupBy(*by, "u")
-                .agg(F.min(F.struct((-F.col("sim")).alias("s"), "l_id", "r_id", "v")).alias("b")))
+        ends = rest.unionByName(rest.select(*by, *keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        best = ends.groupBy(*by, "u").agg(F.min(F.struct((-F.col("sim")).alias("s"), "l_id", "r_id", "v")).alias("b"))
         chosen = cut_lineage(best.select(*by, "u", F.col("b.v").alias("v"), F.col("b.l_id").alias("l_id"),
                                          F.col("b.r_id").alias("r_id"), (-F.col("b.s")).alias("sim")), "picked")
-        picked.append(chosen.select(*by, "l_id", "r_id", "sim").distinct())
-        merged = _merge_labels(chosen.select(*by, "u", "v"), by)
-        lu = merged.select(*by, F.col("node").alias("u"), F.col("root").alias("ru"))
-        lv = merged.select(*by, F.col("node").alias("v"), F.col("root").alias("rv"))
-        rest = cut_lineage(rest.join(lu, [*by, "u"]).join(lv, [*by, "v"]).where(F.col("ru") != F.col("rv"))
-                           .select(*by, "l_id", "r_id", "sim", F.col("ru").alias("u"), F.col("rv").alias("v")), "forest")
-    return reduce(DataFrame.unionByName, picked) if picked else rest.select(*by, "l_id", "r_id", "sim")
-
-
-def _merge_labels(links: DataFrame, by: list[str]) -> DataFrame:
-    """(node, root) for the components of a set of links between current components."""
-    pairs = cut_lineage(links.distinct(), "links")
-    seen = _fingerprint(pairs)
-    while True:
-        pairs = cut_lineage(_star(_star(pairs, by, True), by, False), "links")
-        now = _fingerprint(pairs)
-        if now == seen:
-            break
-        seen = now
-    leaves = pairs.select(*by, F.col("u").alias("node"), F.col("v").alias("root"))
-    return leaves.unionByName(pairs.select(*by, F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        picked.append(chosen.select(*by, *keys))
+        back = chosen.select(*by, F.col("v").alias("u"), F.col("u").alias("v"), F.lit(True).alias("mutual"))
+        # two groups that picked each other: the smaller name is their root
+        parent = chosen.select(*by, "u", "v").join(back, [*by, "u", "v"], "left").select(
+            *by, F.col("u").alias("node"),
+            F.when(F.col("mutual") & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("root"))
+        step = cut_lineage(_jump(parent, by, 3), "roots")
+        ru = step.select(*by, F.col("node").alias("u"), F.col("root").alias("ru"))
+        rv = step.select(*by, F.col("node").alias("v"), F.col("root").alias("rv"))
+        rest = cut_lineage(rest.join(ru, [*by, "u"]).join(rv, [*by, "v"]).where(F.col("ru") != F.col("rv"))
+                           .select(*by, *keys, F.col("ru").alias("u"), F.col("rv").alias("v")), "forest")
+    if not picked:
+        return rest.select(*by, *keys)
+    return reduce(DataFrame.unionByName, picked).distinct()
 
 
 def complete(clusters: DataFrame, e1: DataFrame, e2: DataFrame) -> DataFrame:

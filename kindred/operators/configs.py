@@ -118,9 +118,9 @@ def propose(tr: DataFrame, candidates: DataFrame, n: int, top: float = 0.25, t_b
     scores = density_scores(tr, top, t_bins, k_bins)
     out = _levels(candidates, t_bins, k_bins)
     for name, col in (("lm", "lm"), ("clustering", "clustering"), ("k", "k_bin"), ("threshold", "t_bin")):
-        s = scores.where(F.col("param") == name).select("dataset", F.col("level").alias("_lv"), F.col("score").alias(f"_s_{name}"))
-        out = out.join(s, (out["dataset"] == s["dataset"]) & (out[col].cast("string") == s["_lv"]), "left") \
-                 .drop(s["dataset"]).drop("_lv")
+        s = scores.where(F.col("param") == name).select(F.col("dataset").alias("_ds"), F.col("level").alias("_lv"),
+                                                        F.col("score").alias(f"_s_{name}"))
+        out = out.join(s, (F.col("dataset") == F.col("_ds")) & (F.col(col).cast("string") == F.col("_lv")), "left").drop("_ds", "_lv")
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"_s_{p}"), F.lit(0.0)) for p in ("lm", "clustering", "k", "threshold")])
     keys = ["lm", "k", "clustering", "threshold"]
     w = Window.partitionBy("dataset").orderBy(F.desc("score"), *keys)
