@@ -13,35 +13,45 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _overlap(a: Column, b: Column) -> tuple[Column, Column, Column]:
+# Set measures as formulas on the sizes of the intersection and of both token sets.
+SET_FORMULAS = {
+    "jaccard": lambda i, na, nb: i / (na + nb - i),
+    "cosine": lambda i, na, nb: i / F.sqrt(na * nb),
+    "dice": lambda i, na, nb: 2 * i / (na + nb),
+    "overlap_coeff": lambda i, na, nb: i / F.least(na, nb),
+}
+
+
+def set_sizes(a: Column, b: Column) -> Column:
+    """Sizes of the intersection and of both sets as one struct, so several measures share the work."""
     da, db = F.array_distinct(a), F.array_distinct(b)
-    return (F.size(F.array_intersect(da, db)).cast("double"),
-            F.size(da).cast("double"), F.size(db).cast("double"))
+    return F.struct(F.size(F.array_intersect(da, db)).cast("double").alias("i"),
+                    F.size(da).cast("double").alias("na"), F.size(db).cast("double").alias("nb"))
 
 
-def _set_measure(a: Column, b: Column, formula) -> Column:
-    """Both empty scores 1, one empty scores 0, a missing side gives null."""
-    i, na, nb = _overlap(a, b)
-    return (F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
+def set_measure(name: str, sizes: Column) -> Column:
+    """Both sets empty scores 1, one empty scores 0, a missing side (size -1 or null) gives null."""
+    i, na, nb = sizes["i"], sizes["na"], sizes["nb"]
+    return (F.when(na.isNull() | nb.isNull() | (na < 0) | (nb < 0), F.lit(None).cast("double"))
             .when((na == 0) & (nb == 0), F.lit(1.0))
             .when((na == 0) | (nb == 0), F.lit(0.0))
-            .otherwise(formula(i, na, nb)))
+            .otherwise(SET_FORMULAS[name](i, na, nb)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return _set_measure(a, b, lambda i, na, nb: i / (na + nb - i))
+    return set_measure("jaccard", set_sizes(a, b))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return _set_measure(a, b, lambda i, na, nb: i / F.sqrt(na * nb))
+    return set_measure("cosine", set_sizes(a, b))
 
 
 def dice(a: Column, b: Column) -> Column:
-    return _set_measure(a, b, lambda i, na, nb: 2 * i / (na + nb))
+    return set_measure("dice", set_sizes(a, b))
 
 
 def overlap_coefficient(a: Column, b: Column) -> Column:
-    return _set_measure(a, b, lambda i, na, nb: i / F.least(na, nb))
+    return set_measure("overlap_coeff", set_sizes(a, b))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:

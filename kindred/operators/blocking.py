@@ -49,7 +49,7 @@ def _df_of(code: Column) -> Column:
     return F.substring(code, 1, _CODE_DIGITS).cast("long")
 
 
-def _keys(n: int, heavy: int) -> Column:
+def _keys(n: int, heavy: int | None) -> Column:
     """Join keys of one record.
 
     Two sets that share n tokens share one within the first ``size-n+1`` rare
@@ -62,7 +62,7 @@ def _keys(n: int, heavy: int) -> Column:
 
     def one(c, i):
         pairs = F.transform(F.slice(codes, i + 2, p - i), lambda d: F.concat(c, F.lit("|"), d))
-        if n < 2:
+        if n < 2 or heavy is None:
             return F.array(c)
         return F.when(_df_of(c) > heavy, pairs).otherwise(F.array(c))
 
@@ -70,11 +70,14 @@ def _keys(n: int, heavy: int) -> Column:
 
 
 def overlap_groups(l: DataFrame, r: DataFrame, attr: str, n: int, equal_on: list[str] | None = None,
-                   heavy: int = 2000, r_attr: str | None = None):
+                   heavy: int | None = 500, r_attr: str | None = None):
     """Compact overlap blocking: ``(pairs of set representatives, left members, right members)``.
 
     ``equal_on`` adds attribute equality to the same join (equivalence blocking
     followed by overlap blocking, without the pairs of the first step).
+    ``heavy`` is the record count above which a token is only used together with
+    a second one; None uses single tokens only, which suits long texts, where
+    token combinations outnumber the records they would keep apart.
     """
     eq = equal_on or []
     ls, lm = _token_sets(l, attr, eq)
@@ -88,15 +91,16 @@ def overlap_groups(l: DataFrame, r: DataFrame, attr: str, n: int, equal_on: list
     def side(sets, name):
         coded = _coded(sets, ranked, eq)
         return coded.select(F.col("rep").alias(f"{name}_rep"), *eq, F.col("codes").alias(f"{name}_codes"),
-                            F.explode(_keys(n, heavy)).alias("key"))
+                            F.explode(_keys(n, heavy)).alias("_key"))
 
-    joined = side(ls, "l").join(side(rs, "r"), [*eq, "key"])
+    # Few bytes can make very many pairs here: a merge join keeps both sides partitioned by key.
+    joined = side(ls, "l").join(side(rs, "r").hint("merge"), [*eq, "_key"])
     shared = joined.withColumn("both", F.array_intersect("l_codes", "r_codes")).where(F.size("both") >= n)
     first = F.col("both")[0]
-    if n >= 2:
+    if n >= 2 and heavy is not None:
         first = F.when(_df_of(first) > heavy, F.concat(first, F.lit("|"), F.col("both")[1])).otherwise(first)
     # A pair is kept only at its rarest shared key: no duplicate removal is needed.
-    pairs = shared.where(first == F.col("key")).select("l_rep", "r_rep", F.size("both").alias("overlap"))
+    pairs = shared.where(first == F.col("_key")).select("l_rep", "r_rep", F.size("both").alias("overlap"))
     return pairs, lm, rm
 
 
@@ -112,7 +116,7 @@ def _is_missing(attr: str) -> Column:
 
 
 def overlap_block(l: DataFrame, r: DataFrame, attr: str, n: int, allow_missing: bool = False,
-                  equal_on: list[str] | None = None, heavy: int = 2000, r_attr: str | None = None) -> DataFrame:
+                  equal_on: list[str] | None = None, heavy: int | None = 500, r_attr: str | None = None) -> DataFrame:
     """Candidates ``(l_id, r_id, overlap)`` that share at least n words of ``attr``.
 
     ``allow_missing`` also pairs a record without a value with every record of

@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.similarity import PYTHON_MEASURES, SHORT_NAMES, similarity
+from kindred.functions.similarity import (
+    PYTHON_MEASURES, SET_FORMULAS, SHORT_NAMES, set_measure, set_sizes, similarity,
+)
 from kindred.functions.text import tokens
+from kindred.runtime import cut_lineage, spread
 
 # Measures per attribute type.  Token measures run once per tokeniser of the type.
 TOKEN_MEASURES = ["cosine", "dice", "monge_elkan", "overlap_coeff", "jaccard"]
@@ -77,44 +80,59 @@ def label(cand: DataFrame, gt: DataFrame) -> DataFrame:
 
 
 def _measure_columns(df: DataFrame, plan: list[tuple], keep: list[str]) -> DataFrame:
-    """Evaluate a plan on value columns ``_l_<attr>`` / ``_r_<attr>``; token arrays are built once."""
-    arrays = {}
-    for _, attr, _, tok in plan:
+    """Evaluate a plan on value columns ``_l_<attr>`` / ``_r_<attr>``.
+
+    Token arrays are built once per value and set sizes once per (attribute,
+    tokeniser); the set measures are then arithmetic.
+    """
+    arrays, sizes = {}, {}
+    for _, attr, measure, tok in plan:
         if tok:
             arrays[f"_l_{attr}|{tok}"] = tokens(F.col(f"`_l_{attr}`"), tok)
             arrays[f"_r_{attr}|{tok}"] = tokens(F.col(f"`_r_{attr}`"), tok)
+            if measure in SET_FORMULAS:
+                sizes[f"_s_{attr}|{tok}"] = set_sizes(F.col(f"`_l_{attr}|{tok}`"), F.col(f"`_r_{attr}|{tok}`"))
     if arrays:
         df = df.withColumns(arrays)
+    if sizes:
+        df = df.withColumns(sizes)
     cols = []
     for name, attr, measure, tok in plan:
-        tail = f"|{tok}" if tok else ""
-        cols.append(similarity(measure)(F.col(f"`_l_{attr}{tail}`"), F.col(f"`_r_{attr}{tail}`")).alias(name))
+        if measure in SET_FORMULAS:
+            cols.append(set_measure(measure, F.col(f"`_s_{attr}|{tok}`")).alias(name))
+        else:
+            tail = f"|{tok}" if tok else ""
+            cols.append(similarity(measure)(F.col(f"`_l_{attr}{tail}`"), F.col(f"`_r_{attr}{tail}`")).alias(name))
     return df.select(*keep, *cols)
 
 
-def pair_features(cand: DataFrame, l: DataFrame, r: DataFrame, plan: list[tuple], fill: bool = True) -> DataFrame:
+def pair_features(cand: DataFrame, l: DataFrame, r: DataFrame, plan: list[tuple], fill: bool = True,
+                  distinct_values: list[str] | None = None, rows_per_task: int = 50_000) -> DataFrame:
     """One double column per planned feature; other candidate columns are kept.
 
-    Built-in measures are expressions on the joined values.  Measures that need
-    Python run on the distinct value pairs of their attribute and are joined
-    back, so repeated values cost one evaluation.
+    Attributes in ``distinct_values`` are compared once per distinct value pair
+    and joined back, so repeated values cost one evaluation.  By default these
+    are the attributes that have a measure outside the JVM.  All others are
+    expressions on the joined values.
     """
     attrs = list(dict.fromkeys(p[1] for p in plan))
+    if distinct_values is None:
+        distinct_values = [a for a in attrs if any(p[1] == a and p[2] in PYTHON_MEASURES for p in plan)]
     lv = l.select(F.col("id").alias("l_id"), *[F.col(f"`{a}`").cast("string").alias(f"_l_{a}") for a in attrs])
     rv = r.select(F.col("id").alias("r_id"), *[F.col(f"`{a}`").cast("string").alias(f"_r_{a}") for a in attrs])
-    joined = cand.join(lv, "l_id").join(rv, "r_id")
-    keep = [c for c in cand.columns]
-    jvm = [p for p in plan if p[2] not in PYTHON_MEASURES]
-    slow = [p for p in plan if p[2] in PYTHON_MEASURES]
-    slow_attrs = list(dict.fromkeys(p[1] for p in slow))
-    carry = keep + [f"`_{s}_{a}`" for a in slow_attrs for s in "lr"]
-    out = _measure_columns(joined, jvm, carry)
-    for a in slow_attrs:
+    keep = list(cand.columns)
+    cand = cut_lineage(cand, "pairs")
+    joined = spread(cand, ["l_id", "r_id"], rows_per_task).join(lv, "l_id").join(rv, "r_id")
+    direct = [p for p in plan if p[1] not in distinct_values]
+    carry = keep + [f"`_{s}_{a}`" for a in distinct_values for s in "lr"]
+    out = _measure_columns(joined, direct, carry)
+    for a in distinct_values:
         pair = [f"_l_{a}", f"_r_{a}"]
-        mine = [p for p in slow if p[1] == a]
+        mine = [p for p in plan if p[1] == a]
         values = joined.select(*[f"`{c}`" for c in pair]).where(
             F.col(f"`{pair[0]}`").isNotNull() & F.col(f"`{pair[1]}`").isNotNull()).distinct()
-        scored = _measure_columns(values, mine, [f"`{c}`" for c in pair])
+        scored = _measure_columns(spread(cut_lineage(values, "values"), [f"`{c}`" for c in pair], rows_per_task // 10),
+                                  mine, [f"`{c}`" for c in pair])
         out = out.join(scored, pair, "left").drop(*pair)
     out = out.select(*keep, *[p[0] for p in plan])
     return out.fillna(0.0, [p[0] for p in plan]) if fill else out

@@ -48,3 +48,13 @@ def estimated_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = 32 * 1024 * 1024) -> DataFrame:
     """Broadcast hint only while Catalyst's estimate is below ``limit``; else let AQE choose."""
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame, keys: list[str], rows_per_task: int = 50_000) -> DataFrame:
+    """Partition by row count instead of bytes, for narrow rows whose processing is expensive.
+
+    Spark sizes tasks by bytes; a table of id pairs would get far too few.
+    """
+    n = -(-df.count() // rows_per_task)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, n), *keys)
