@@ -22,18 +22,18 @@ def _(spark, sf):
     return left.unionByName(right).select("encoder", "side", "id", F.size("embedding").alias("dims"))
 
 
-@query("b2_knn_exact", f"WITH {sql_knn(10)} SELECT l_id, r_id, round(sim, 6) AS sim, rank FROM knn")
+@query("b2_knn_exact", f"WITH {sql_knn(10)} SELECT l_id, r_id, sim, rank FROM knn")
 def _(spark, sf):
     l, r = vectors(spark, sf)
-    return rounded(nn.knn(l, r, 10))
+    return nn.knn(l, r, 10)
 
 
 @query("b2_knn_exact_right_queries", f"""WITH {sql_knn(1)}
-SELECT l_id, r_id, round(sim, 6) AS sim, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY r_id ORDER BY sim DESC, l_id) AS INT) AS rank
+SELECT l_id, r_id, sim, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY r_id ORDER BY sim DESC, l_id) AS INT) AS rank
   FROM sims) WHERE rank <= 5""")
 def _(spark, sf):
     l, r = vectors(spark, sf)
-    return rounded(nn.knn(l, r, 5, "right"))
+    return nn.knn(l, r, 5, "right")
 
 
 @query("b3_knn_approximate")
@@ -42,10 +42,10 @@ def _(spark, sf):
     return rounded(nn.recall_against(nn.knn_approx(l, r, 10, bands=16, bits=4), nn.knn(l, r, 10)))
 
 
-@query("b4_similarity_graph", f"WITH {sql_knn(5)} SELECT l_id, r_id, round(sim, 6) AS sim FROM knn")
+@query("b4_similarity_graph", f"WITH {sql_knn(5)} SELECT l_id, r_id, sim FROM knn")
 def _(spark, sf):
     l, r = vectors(spark, sf)
-    return rounded(nn.graph(nn.knn(l, r, 5)))
+    return nn.graph(nn.knn(l, r, 5))
 
 
 @query("b5_word_overlap", f"WITH {SQL_PARTS}, {sql_overlap('pl', 'pr', 3)} SELECT l_id, r_id, overlap FROM cand")

@@ -35,9 +35,9 @@ def sql_scores(tp: str, predicted: str, known: str, scale: int = 100, digits: in
             f"round(coalesce({s}2 * ({tp}) / nullif(({predicted}) + ({known}), 0), 0), {digits}) AS f1")
 
 
-@query("c1_prune_edges", f"WITH {_EDGES} SELECT l_id, r_id, round(sim, 6) AS sim FROM ed")
+@query("c1_prune_edges", f"WITH {_EDGES} SELECT l_id, r_id, sim FROM ed")
 def _(spark, sf):
-    return rounded(cl.prune(edges(spark, sf), CUT).drop("rank"))
+    return cl.prune(edges(spark, sf), CUT).drop("rank")
 
 
 @query("c2_connected_components", f"WITH RECURSIVE {_EDGES}, {_COMPONENTS} SELECT side, id, cluster_id FROM parts")
@@ -45,22 +45,22 @@ def _(spark, sf):
     return cl.components(cl.prune(edges(spark, sf), CUT))
 
 
-@query("c3_unique_mapping", f"WITH RECURSIVE {_EDGES}, {sql_greedy('ed')} SELECT l_id, r_id, round(sim, 6) AS sim FROM umc")
+@query("c3_unique_mapping", f"WITH RECURSIVE {_EDGES}, {sql_greedy('ed')} SELECT l_id, r_id, sim FROM umc")
 def _(spark, sf):
-    return rounded(cl.unique_mapping(cl.prune(edges(spark, sf), CUT)))
+    return cl.unique_mapping(cl.prune(edges(spark, sf), CUT))
 
 
-@query("c4_stable_matching", f"WITH RECURSIVE {_EDGES}, {sql_greedy('ed')} SELECT l_id, r_id, round(sim, 6) AS sim FROM umc")
+@query("c4_stable_matching", f"WITH RECURSIVE {_EDGES}, {sql_greedy('ed')} SELECT l_id, r_id, sim FROM umc")
 def _(spark, sf):
-    return rounded(cl.kiraly(cl.prune(edges(spark, sf), CUT)))
+    return cl.kiraly(cl.prune(edges(spark, sf), CUT))
 
 
 @query("c5_best_match", f"""WITH {_EDGES},
 a AS (SELECT *, row_number() OVER (PARTITION BY r_id ORDER BY sim DESC, l_id) AS n FROM ed),
 b AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY sim DESC, r_id) AS m FROM a WHERE n = 1)
-SELECT l_id, r_id, round(sim, 6) AS sim FROM b WHERE m = 1""")
+SELECT l_id, r_id, sim FROM b WHERE m = 1""")
 def _(spark, sf):
-    return rounded(cl.best_match(cl.prune(edges(spark, sf), CUT)))
+    return cl.best_match(cl.prune(edges(spark, sf), CUT))
 
 
 @query("c6_complete_partition", f"""WITH RECURSIVE {_EDGES}, {_COMPONENTS},

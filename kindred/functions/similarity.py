@@ -22,9 +22,12 @@ SET_FORMULAS = {
 }
 
 
-def set_sizes(a: Column, b: Column) -> Column:
-    """Sizes of the intersection and of both sets as one struct, so several measures share the work."""
-    da, db = F.array_distinct(a), F.array_distinct(b)
+def set_sizes(a: Column, b: Column, distinct: bool = False) -> Column:
+    """Sizes of the intersection and of both sets as one struct, so several measures share the work.
+
+    ``distinct`` says that the arrays hold no duplicates already.
+    """
+    da, db = (a, b) if distinct else (F.array_distinct(a), F.array_distinct(b))
     return F.struct(F.size(F.array_intersect(da, db)).cast("double").alias("i"),
                     F.size(da).cast("double").alias("na"), F.size(db).cast("double").alias("nb"))
 

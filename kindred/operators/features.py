@@ -82,16 +82,21 @@ def label(cand: DataFrame, gt: DataFrame) -> DataFrame:
 def _measure_columns(df: DataFrame, plan: list[tuple], keep: list[str]) -> DataFrame:
     """Evaluate a plan on value columns ``_l_<attr>`` / ``_r_<attr>``.
 
-    Token arrays are built once per value and set sizes once per (attribute,
-    tokeniser); the set measures are then arithmetic.
+    Token sets come from columns ``_l_<attr>|<tokeniser>`` if the frame has
+    them.  Set sizes are computed once per (attribute, tokeniser); the set
+    measures are then arithmetic.
     """
+    have = set(df.columns)
     arrays, sizes = {}, {}
     for _, attr, measure, tok in plan:
-        if tok:
-            arrays[f"_l_{attr}|{tok}"] = tokens(F.col(f"`_l_{attr}`"), tok)
-            arrays[f"_r_{attr}|{tok}"] = tokens(F.col(f"`_r_{attr}`"), tok)
-            if measure in SET_FORMULAS:
-                sizes[f"_s_{attr}|{tok}"] = set_sizes(F.col(f"`_l_{attr}|{tok}`"), F.col(f"`_r_{attr}|{tok}`"))
+        if not tok:
+            continue
+        names = [f"_{s}_{attr}|{tok}" for s in "lr"]
+        ready = names[0] in have
+        if measure in SET_FORMULAS:
+            sizes[f"_s_{attr}|{tok}"] = set_sizes(*[F.col(f"`{n}`") for n in names], distinct=ready)
+        if not ready:
+            arrays.update({f"_{s}_{attr}|{tok}": tokens(F.col(f"`_{s}_{attr}`"), tok) for s in "lr"})
     if arrays:
         df = df.withColumns(arrays)
     if sizes:
@@ -118,8 +123,16 @@ def pair_features(cand: DataFrame, l: DataFrame, r: DataFrame, plan: list[tuple]
     attrs = list(dict.fromkeys(p[1] for p in plan))
     if distinct_values is None:
         distinct_values = [a for a in attrs if any(p[1] == a and p[2] in PYTHON_MEASURES for p in plan)]
-    lv = l.select(F.col("id").alias("l_id"), *[F.col(f"`{a}`").cast("string").alias(f"_l_{a}") for a in attrs])
-    rv = r.select(F.col("id").alias("r_id"), *[F.col(f"`{a}`").cast("string").alias(f"_r_{a}") for a in attrs])
+    # Token sets of directly compared attributes are built once per record, not once per pair.
+    sets = {(p[1], p[3]) for p in plan if p[3] and p[1] not in distinct_values}
+    sets -= {(p[1], p[3]) for p in plan if p[3] and p[2] not in SET_FORMULAS}
+
+    def values_of(e, side):
+        made = [F.array_distinct(tokens(F.col(f"`{a}`").cast("string"), t)).alias(f"_{side}_{a}|{t}") for a, t in sorted(sets)]
+        return e.select(F.col("id").alias(f"{side}_id"),
+                        *[F.col(f"`{a}`").cast("string").alias(f"_{side}_{a}") for a in attrs], *made)
+
+    lv, rv = values_of(l, "l"), values_of(r, "r")
     keep = list(cand.columns)
     cand = cut_lineage(cand, "pairs")
     joined = spread(cand, ["l_id", "r_id"], rows_per_task).join(lv, "l_id").join(rv, "r_id")
