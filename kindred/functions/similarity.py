@@ -22,19 +22,19 @@ SET_FORMULAS = {
 }
 
 
-def set_sizes(a: Column, b: Column, distinct: bool = False) -> Column:
-    """Sizes of the intersection and of both sets as one struct, so several measures share the work.
+def set_sizes(a: Column, b: Column, distinct: bool = False) -> tuple[Column, Column, Column]:
+    """Sizes of the intersection and of both sets, for several measures to share.
 
-    ``distinct`` says that the arrays hold no duplicates already.
+    ``distinct`` says that the arrays hold no duplicates already.  The three
+    sizes stay separate columns: the optimizer would inline a struct of them
+    and compute each one once per use.
     """
     da, db = (a, b) if distinct else (F.array_distinct(a), F.array_distinct(b))
-    return F.struct(F.size(F.array_intersect(da, db)).cast("double").alias("i"),
-                    F.size(da).cast("double").alias("na"), F.size(db).cast("double").alias("nb"))
+    return (F.size(F.array_intersect(da, db)).cast("double"), F.size(da).cast("double"), F.size(db).cast("double"))
 
 
-def set_measure(name: str, sizes: Column) -> Column:
+def set_measure(name: str, i: Column, na: Column, nb: Column) -> Column:
     """Both sets empty scores 1, one empty scores 0, a missing side (size -1 or null) gives null."""
-    i, na, nb = sizes["i"], sizes["na"], sizes["nb"]
     return (F.when(na.isNull() | nb.isNull() | (na < 0) | (nb < 0), F.lit(None).cast("double"))
             .when((na == 0) & (nb == 0), F.lit(1.0))
             .when((na == 0) | (nb == 0), F.lit(0.0))
@@ -42,19 +42,19 @@ def set_measure(name: str, sizes: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return set_measure("jaccard", set_sizes(a, b))
+    return set_measure("jaccard", *set_sizes(a, b))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return set_measure("cosine", set_sizes(a, b))
+    return set_measure("cosine", *set_sizes(a, b))
 
 
 def dice(a: Column, b: Column) -> Column:
-    return set_measure("dice", set_sizes(a, b))
+    return set_measure("dice", *set_sizes(a, b))
 
 
 def overlap_coefficient(a: Column, b: Column) -> Column:
-    return set_measure("overlap_coeff", set_sizes(a, b))
+    return set_measure("overlap_coeff", *set_sizes(a, b))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:

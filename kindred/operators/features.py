@@ -94,7 +94,8 @@ def _measure_columns(df: DataFrame, plan: list[tuple], keep: list[str]) -> DataF
         names = [f"_{s}_{attr}|{tok}" for s in "lr"]
         ready = names[0] in have
         if measure in SET_FORMULAS:
-            sizes[f"_s_{attr}|{tok}"] = set_sizes(*[F.col(f"`{n}`") for n in names], distinct=ready)
+            made = set_sizes(*[F.col(f"`{n}`") for n in names], distinct=ready)
+            sizes.update({f"_{k}_{attr}|{tok}": c for k, c in zip(("i", "na", "nb"), made)})
         if not ready:
             arrays.update({f"_{s}_{attr}|{tok}": tokens(F.col(f"`_{s}_{attr}`"), tok) for s in "lr"})
     if arrays:
@@ -104,7 +105,7 @@ def _measure_columns(df: DataFrame, plan: list[tuple], keep: list[str]) -> DataF
     cols = []
     for name, attr, measure, tok in plan:
         if measure in SET_FORMULAS:
-            cols.append(set_measure(measure, F.col(f"`_s_{attr}|{tok}`")).alias(name))
+            cols.append(set_measure(measure, *[F.col(f"`_{k}_{attr}|{tok}`") for k in ("i", "na", "nb")]).alias(name))
         else:
             tail = f"|{tok}" if tok else ""
             cols.append(similarity(measure)(F.col(f"`_l_{attr}{tail}`"), F.col(f"`_r_{attr}{tail}`")).alias(name))
