@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.runtime import cut_lineage
+from kindred.runtime import cut_lineage, release
 
 
 def prune(ed: DataFrame, t) -> DataFrame:
@@ -49,9 +49,10 @@ def unique_mapping(ed: DataFrame, by: list[str] | None = None) -> DataFrame:
         if not _any(mutual):
             break
         accepted.append(mutual)
-        rest = cut_lineage(rest.join(mutual.select(*by, "l_id"), [*by, "l_id"], "left_anti")
-                           .join(mutual.select(*by, "r_id"), [*by, "r_id"], "left_anti")
-                           .select(*by, "l_id", "r_id", "sim"), "edges")
+        used, rest = rest, cut_lineage(rest.join(mutual.select(*by, "l_id"), [*by, "l_id"], "left_anti")
+                                       .join(mutual.select(*by, "r_id"), [*by, "r_id"], "left_anti")
+                                       .select(*by, "l_id", "r_id", "sim"), "edges")
+        release(used)
     return reduce(DataFrame.unionByName, accepted) if accepted else rest
 
 
@@ -106,9 +107,10 @@ def kiraly(ed: DataFrame, by: list[str] | None = None) -> DataFrame:
         if not _any(sure):
             break
         accepted.append(sure)
-        rest = cut_lineage(rest.join(sure.select(*by, "l_id"), [*by, "l_id"], "left_anti")
-                           .join(sure.select(*by, "r_id"), [*by, "r_id"], "left_anti")
-                           .select(*by, "l_id", "r_id", "sim"), "edges")
+        used, rest = rest, cut_lineage(rest.join(sure.select(*by, "l_id"), [*by, "l_id"], "left_anti")
+                                       .join(sure.select(*by, "r_id"), [*by, "r_id"], "left_anti")
+                                       .select(*by, "l_id", "r_id", "sim"), "edges")
+        release(used)
     if _any(rest):
         accepted.append(_with_ties(rest, by))
     return reduce(DataFrame.unionByName, accepted) if accepted else rest
@@ -166,9 +168,10 @@ def components(ed: DataFrame, by: list[str] | None = None) -> DataFrame:
         maps.append(step)
         ru = step.select(*by, F.col("node").alias("u"), F.col("root").alias("ru"))
         rv = step.select(*by, F.col("node").alias("v"), F.col("root").alias("rv"))
-        rest = cut_lineage(
+        used, rest = rest, cut_lineage(
             rest.join(ru, [*by, "u"]).join(rv, [*by, "v"]).where(F.col("ru") != F.col("rv"))
             .select(*by, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "components")
+        release(used)
         if not _any(rest):
             break
     final = _compose(maps, by)
@@ -206,8 +209,9 @@ def spanning_forest(ed: DataFrame, by: list[str] | None = None) -> DataFrame:
         step = cut_lineage(_jump(parent, by, 3), "roots")
         ru = step.select(*by, F.col("node").alias("u"), F.col("root").alias("ru"))
         rv = step.select(*by, F.col("node").alias("v"), F.col("root").alias("rv"))
-        rest = cut_lineage(rest.join(ru, [*by, "u"]).join(rv, [*by, "v"]).where(F.col("ru") != F.col("rv"))
-                           .select(*by, *keys, F.col("ru").alias("u"), F.col("rv").alias("v")), "forest")
+        used, rest = rest, cut_lineage(rest.join(ru, [*by, "u"]).join(rv, [*by, "v"]).where(F.col("ru") != F.col("rv"))
+                                       .select(*by, *keys, F.col("ru").alias("u"), F.col("rv").alias("v")), "forest")
+        release(used)
     if not picked:
         return rest.select(*by, *keys)
     return reduce(DataFrame.unionByName, picked).distinct()

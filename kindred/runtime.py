@@ -32,7 +32,18 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kindred-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kindred_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a ``cut_lineage`` result that nothing reads any more."""
+    path = getattr(df, "_kindred_path", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
