@@ -197,7 +197,7 @@ SELECT "TEST_SET", "DATASET", "REGRESSOR", count(*) AS "rows", count(rt) AS matc
 def _(spark, sf):
     out = an.attach_runtime(results(spark, sf), trials(spark, sf))
     return out.groupBy("TEST_SET", "DATASET", "REGRESSOR").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("ETEER_RUNTIME").alias("matched"), F.round(F.sum("ETEER_RUNTIME"), 2).alias("runtime"))
+        F.count(F.lit(1)).alias("rows"), F.count("PIPELINE_RUNTIME").alias("matched"), F.round(F.sum("PIPELINE_RUNTIME"), 2).alias("runtime"))
 
 
 @query("t21_unmatched", f"""WITH {SQL_RESULTS}{_KEYED}

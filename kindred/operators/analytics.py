@@ -238,7 +238,7 @@ def attach_runtime(results: DataFrame, tr: DataFrame) -> DataFrame:
     keyed = tr.select(F.col("dataset").alias("TEST_SET"), F.col("clustering").alias("CLUSTERING"), F.col("lm").alias("LM"),
                       F.col("k").alias("K"), t4("threshold").alias("_t"), "trial", "runtime")
     one = keyed.groupBy("TEST_SET", "CLUSTERING", "LM", "K", "_t").agg(
-        F.min(F.struct("trial", "runtime")).alias("b")).withColumn("ETEER_RUNTIME", F.col("b.runtime")).drop("b")
+        F.min(F.struct("trial", "runtime")).alias("b")).withColumn("PIPELINE_RUNTIME", F.col("b.runtime")).drop("b")
     return results.withColumn("_t", t4("THRESHOLD")).join(one, ["TEST_SET", "CLUSTERING", "LM", "K", "_t"], "left").drop("_t")
 
 
