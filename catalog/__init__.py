@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from catalog import baseline, blocking, cluster, learn, matching, prepare, search, sources, tests, trials  # noqa: F401
+    from catalog import baseline, blocking, cluster, learn, matching, prepare, search, significance, sources, trials  # noqa: F401

@@ -9,17 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def set_shared_dir(spark: SparkSession, path: str) -> None:
+    """Name the folder for intermediate tables of this application; it goes before ``spark.checkpoint.dir``."""
+    _FOLDERS[spark.sparkContext.applicationId] = path
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names, else (local runs only) a temp one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    made = tempfile.mkdtemp(prefix="kindred-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    """Folder for intermediate tables: the one set here, the one the cluster names, else (local runs only) a temp one.
+
+    No session setting is changed: ``spark.checkpoint.dir`` is a core setting that cannot be set on a running session.
+    """
+    app = spark.sparkContext.applicationId
+    named = _FOLDERS.get(app) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("name a folder that all executors can reach: spark.checkpoint.dir or set_shared_dir()")
+        named = _FOLDERS[app] = tempfile.mkdtemp(prefix="kindred-")
+    return named.rstrip("/")
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:

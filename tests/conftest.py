@@ -14,6 +14,7 @@ def spark(tmp_path_factory):
          .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+        from kindred.runtime import set_shared_dir
+        set_shared_dir(s, str(tmp_path_factory.mktemp("checkpoints")))
     yield s
     s.stop()
