@@ -125,11 +125,12 @@ def scan(docs: DataFrame, library: DataFrame | None = None, share: float = SHARE
     if not names:
         return df.select("doc", F.lit("").alias("license"), F.lit(0.0).alias("containment")).where(F.lit(False))
     hits = F.array_distinct(F.filter(F.concat(_window_keys(STEP), _single_keys(F.col("s"))), lambda k: k.isin(list(names))))
-    met = df.select("doc", "s", hits.alias("_hits")).where(F.size("_hits") > 0)
+    # no filter on the hits and an outer explode: a condition on them would be pushed down and computed again
+    met = df.select("doc", "s", hits.alias("_hits"))
     table = F.broadcast(spark.createDataFrame([(k, n) for k, v in names.items() for n in v], "key bigint, license string")
                         .groupBy("key").agg(F.collect_set("license").alias("licenses")).agg(
                             F.map_from_entries(F.collect_list(F.struct("key", "licenses"))).alias("table")))  # one row, at most MOST_KEYS keys
-    found = met.join(table, F.lit(True)).select("doc", "s", F.explode(F.array_distinct(F.flatten(
+    found = met.join(table, F.lit(True)).select("doc", "s", F.explode_outer(F.array_distinct(F.flatten(
         F.transform("_hits", lambda k: F.element_at("table", k))))).alias("license"))
     wanted = known.select("license", F.array_distinct("s").alias("t"))
     both = found.join(F.broadcast(wanted), "license").withColumn(
