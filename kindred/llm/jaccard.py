@@ -37,7 +37,7 @@ from kindred.runtime import cut_lineage, release
 #: Words of a shingle; similarity in hundredths.
 WORDS, PERCENT = 5, 80
 #: A key shared by more groups than this is compared under the second order.
-COMMON = 32
+COMMON = 100
 #: Keys per class and rounds of the first linking.
 LINK_KEYS, LINK_ROUNDS = 6, 2
 #: Rows held at a time in a task; more ids than this are not broadcast.
@@ -249,6 +249,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     rows = cut_lineage(keys.join(shared, "key").groupBy("cid", "key").agg(F.first("df").alias("df")), "shared")
     sets = cut_lineage(_sets(docs, rows.select("cid").distinct().join(classes, "cid"), words), "sets")
     sized = cut_lineage(rows.join(sets.select("cid", "n"), "cid"), "sized")
+    release(rows)
 
     links = []
     comp = None
@@ -268,7 +269,8 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         links.append(cut_lineage(_linked(pairs, sets, percent), "links"))
         comp = _merged(comp, links[-1])
 
-    grouped = cut_lineage(_with_groups(sized, comp), "grouped")
+    grouped = cut_lineage(_with_groups(sized, comp).select("key", "cid", "comp", "n"), "grouped")
+    release(sized)
     spread = grouped.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("groups"))
     spread = cut_lineage(spread.where(F.col("groups") > 1), "spread")
     light = grouped.join(spread.where(F.col("groups") <= COMMON), "key").select("key", "cid", "comp", "n")
@@ -276,6 +278,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
 
     hard = grouped.join(spread.where(F.col("groups") > COMMON), "key").select("cid").distinct()
     hard = cut_lineage(hard, "hard")
+    release(grouped)
     if hard.limit(1).count():
         links.append(cut_lineage(_linked(cut_lineage(_tiles(_rare_first(sets, hard, comp, percent), percent), "pairs"), sets, percent), "links"))
     for x in links[LINK_ROUNDS:]:
@@ -350,7 +353,7 @@ def _rare_first(sets: DataFrame, hard: DataFrame, comp: DataFrame, percent: int)
                  pa.array(np.repeat(part.column(1).to_numpy(zero_copy_only=False), n)),
                  pa.array(np.concatenate([*sets_, np.empty(0, np.int64)]))], names=["cid", "n", "key"])
     own = sets.join(hard, "cid", "left_semi").select("cid", "n", "hashes").mapInArrow(run, "cid bigint, n bigint, key bigint")
-    df = own.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    df = own.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     many = own.join(df.where(F.col("df") > 1), "key")
     # shingles of one class only come first in the order and match nothing: they only use up places
     alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("cid"))
