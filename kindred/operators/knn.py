@@ -21,8 +21,12 @@ SIM_DIGITS = 8  # similarities are rounded here, so rank order does not depend o
 
 
 def _copies(df: DataFrame, id: str, vec: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct vectors under their smallest id, and the (id, rep) membership."""
+    """Distinct vectors under their smallest id, and the (id, rep) membership.
+
+    Records without a vector, or with a null component, have no neighbours.
+    """
     df = df.select(F.col(id).alias("id"), F.col(vec).alias("v"))
+    df = df.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
     reps = df.groupBy("v").agg(F.min("id").alias("rep"))
     members = df.join(reps, "v").select("id", "rep")
     return reps, members

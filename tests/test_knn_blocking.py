@@ -127,3 +127,11 @@ def test_blocking_quality(spark):
     q = blk.block_quality(cand, e, e, gt).first()
     assert (q["candidates"], q["known"], q["missed"], q["recall"]) == (3, 4, 2, 0.5)
     assert abs(q["reduction_ratio"] - 0.97) < 1e-12
+
+
+def test_knn_leaves_out_missing_vectors(spark):
+    from kindred.operators.knn import knn
+    rows = [("a", [1.0, 0.0]), ("b", None), ("c", [0.0, None]), ("d", [0.6, 0.8])]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    got = {(r.l_id, r.r_id) for r in knn(df, df, 2).collect()}
+    assert got == {("a", "a"), ("a", "d"), ("d", "a"), ("d", "d")}
