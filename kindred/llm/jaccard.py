@@ -22,6 +22,7 @@ Large groups need no large number of pairs, since only components count:
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -45,25 +46,51 @@ ROWS, BROADCAST_ROWS = 256, 1_000_000
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9),
           np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 
+_GAPS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_VALUES = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_VALUES[ord("A"):ord("Z") + 1] = _VALUES[ord("a"):ord("z") + 1]
+_BASE = 0x9E3779B97F4A7C15
+_grown = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-def shingles(text: str | None, known: dict[bytes, int], words: int = WORDS) -> np.ndarray:
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, as many as the longest text so far has bytes."""
+    while len(_grown[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            x = _grown[i]
+            _grown[i] = np.concatenate((x, x * np.uint64(pow(base, len(x), 1 << 64))))
+    return _grown
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """One 64-bit hash per word of UTF-8 bytes; A-Z count as a-z, words end at ASCII white space.
+
+    A word is a polynomial of random byte values over the ring of 64-bit numbers.  With
+    running sums of ``value * base ** position`` a word is the difference of two sums, times
+    the inverse power of its start, so no step loops over words.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    gap = np.ones(len(b) + 2, dtype=bool)
+    gap[1:-1] = _GAPS[b]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(len(b))
+    sums = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_VALUES[b] * up[:len(b)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h ^= h >> np.uint64(32)
+    h *= _SEEDS[0]
+    return h ^ (h >> np.uint64(29))
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes of a text, as signed 64-bit numbers.
 
-    A-Z are lower-cased, words end at ASCII white space.  A shorter text is one
-    shingle; its hash also depends on the number of words.
+    A shorter text is one shingle; its hash also depends on the number of words.
     """
-    import xxhash
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass"))
+    if not len(h):
         return np.empty(0, dtype=np.int64)
-    h = [known.get(w) for w in parts]
-    if None in h:
-        if len(known) > 500_000:
-            known.clear()
-        for i, w in enumerate(parts):
-            if h[i] is None:
-                h[i] = known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array(h, dtype=np.uint64)
     n = min(words, len(h))
     out = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for j in range(n):
@@ -107,30 +134,21 @@ def _class_id(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, cid`` of every row; ``cid`` names the set (null: empty)."""
+def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``doc_id, n, cid, keys`` of every row: ``cid`` names the set (null: empty), ``keys`` are its first shingles in hash order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        known: dict[bytes, int] = {}
         for part in _slices(batches):
-            sets = [shingles(x, known, words) for x in part.column(1).to_pylist()]
+            sets = [shingles(x, words) for x in part.column(1).to_pylist()]
+            first = [s[:prefix_size(len(s), percent)] for s in sets]
+            ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_class_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "cid"])
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, cid bigint")
-
-
-def _keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``cid, key``: the first shingles of every document's set in hash order."""
-    def run(batches):
-        known: dict[bytes, int] = {}
-        for part in _slices(batches):
-            sets = [s for s in (shingles(x, known, words) for x in part.column(0).to_pylist()) if len(s)]
-            first = [s[:prefix_size(len(s), percent)] for s in sets]
-            cids = np.repeat(np.array([_class_id(s) for s in sets], dtype=np.int64), [len(x) for x in first])
-            yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(np.concatenate([*first, np.empty(0, np.int64)]))], names=["cid", "key"])
-    return docs.select("text").mapInArrow(run, "cid bigint, key bigint")
+                 pa.array([_class_id(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*first, np.empty(0, np.int64)])))],
+                names=["doc_id", "n", "cid", "keys"])
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, cid bigint, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -140,11 +158,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     rows = docs.select("doc_id", "text").join(F.broadcast(w) if few else w, F.col("doc_id").eqNullSafe(F.col("_doc")))
 
     def run(batches):
-        known: dict[bytes, int] = {}
         for part in _slices(batches):
             found = []
             for cid, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                s = shingles(x, known, words)
+                s = shingles(x, words)
                 if len(s) and _class_id(s) == cid:
                     found.append((cid, s))
             yield pa.RecordBatch.from_arrays(
@@ -181,8 +198,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
             .mapInArrow(bounded, "a bigint, b bigint"))
     near = cut_lineage(near, "near")
-    return (near.join(side("a", ("hashes",)), "a").join(side("b", ("hashes",)), "b")
-            .mapInArrow(exact, "a bigint, b bigint"))
+    left, right = side("a", ("hashes",)), side("b", ("hashes",))
+    if near.count() <= BROADCAST_ROWS:  # only the sets of these pairs are sent
+        left = left.join(F.broadcast(near.select("a").distinct()), "a", "left_semi")
+        right = right.join(F.broadcast(near.select("b").distinct()), "b", "left_semi")
+    met = near.join(left, "a").join(right, "b")
+    return met.select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, "a bigint, b bigint")
 
 
 def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -241,12 +262,14 @@ def _tiles(rows: DataFrame, percent: int) -> DataFrame:
 def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """``doc_id, n, cid`` of every row, and ``cid, doc_id, comp`` of every class (its smallest id, its group)."""
     docs = docs.select("doc_id", "text")
-    signed = cut_lineage(_signed(docs, words), "signed")
+    keyed = cut_lineage(_signed(docs, words, percent), "keyed")
+    signed = cut_lineage(keyed.select("doc_id", "n", "cid"), "signed")
     classes = signed.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    keys = _keys(docs, words, percent)
+    keys = keyed.select("cid", F.explode("keys").alias("key"))
     # keys that two rows or more have; equal documents count as several here and meet as one class below
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     rows = cut_lineage(keys.join(shared, "key").groupBy("cid", "key").agg(F.first("df").alias("df")), "shared")
+    release(keyed)
     sets = cut_lineage(_sets(docs, rows.select("cid").distinct().join(classes, "cid"), words), "sets")
     sized = cut_lineage(rows.join(sets.select("cid", "n"), "cid"), "sized")
     release(rows)
@@ -281,8 +304,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     release(grouped)
     if hard.limit(1).count():
         links.append(cut_lineage(_linked(cut_lineage(_tiles(_rare_first(sets, hard, comp, percent), percent), "pairs"), sets, percent), "links"))
-    for x in links[LINK_ROUNDS:]:
-        comp = _merged(comp, x)
+    comp = _merged(comp, functools.reduce(DataFrame.unionByName, links[LINK_ROUNDS:]))
 
     return signed, classes.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
@@ -324,9 +346,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     schema = T.StructType([whole.schema["doc"], T.StructField("cid", T.LongType())])
 
     def run(batches):
-        known: dict[bytes, int] = {}
         for part in _slices(batches):
-            sets = [shingles(x, known, words) for x in part.column(1).to_pylist()]
+            sets = [shingles(x, words) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_class_id(s) if len(s) else None for s in sets], pa.int64())],
                                              names=["doc", "cid"])
     rows = whole.select("doc", F.col("doc.text").alias("text")).mapInArrow(run, schema)

@@ -117,6 +117,19 @@ def test_jaccard_equals_brute_force(spark, docs):
     assert got == components_of(rows)
 
 
+def test_word_hashes_tell_words_apart():
+    import itertools
+    words = ["".join(w) for n in range(1, 7) for w in itertools.product("abé", repeat=n)] + ["x" * n for n in range(1, 3000)]
+    text = "\t ".join(words) + "\r\n"
+    h = jaccard.word_hashes(text.encode())
+    assert len(h) == len(words) == len(set(h.tolist()))
+    assert (jaccard.word_hashes(text.upper().replace("É", "é").encode()) == h).all()
+    shifted = jaccard.word_hashes(("\x0b zz " + text).encode())
+    assert (shifted[1:] == h).all()
+    assert len(jaccard.word_hashes(b"")) == len(jaccard.word_hashes(b" \n")) == 0
+    assert len(jaccard.word_hashes("a\u00a0b".encode())) == 1
+
+
 def test_jaccard_second_order(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COMMON", 2)
     passage = [f"p{i}" for i in range(60)]
