@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -151,30 +151,38 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, cid bigint, keys array<bigint>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``cid, n, bits, hashes`` of the classes in ``wanted`` (``cid, doc_id``), made again from the text of one document each."""
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, give: str, repeats: bool) -> DataFrame:
+    """Sets of the classes in ``wanted`` (``cid, doc_id``), made again from the text of one document each.
+
+    ``give`` chooses the columns: ``cid, n, bits``; ``cid, hashes``; or ``cid, n, key`` with a row per shingle.
+    Sets take more room than texts, so they are not kept.  ``repeats``: rows may agree in both id and text, of which one counts.
+    """
     few = wanted.count() <= BROADCAST_ROWS
     w = wanted.select("cid", F.col("doc_id").alias("_doc"))
     rows = docs.select("doc_id", "text").join(F.broadcast(w) if few else w, F.col("doc_id").eqNullSafe(F.col("_doc")))
 
     def run(batches):
         for part in _slices(batches):
-            found = []
-            for cid, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                s = shingles(x, words)
-                if len(s) and _class_id(s) == cid:
-                    found.append((cid, s))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()),
-                 pa.array([bitmap(s).tobytes() for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())],
-                names=["cid", "n", "bits", "hashes"])
-    return rows.select("cid", "text").mapInArrow(run, "cid bigint, n bigint, bits binary, hashes binary")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a, b``: class ids) whose sets are similar: size, bitmaps, then exact intersection."""
-    def side(name: str, columns: tuple[str, ...]) -> DataFrame:
-        return sets.select(F.col("cid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+            found = [(cid, s) for cid, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                     if len(s := shingles(x, words)) and _class_id(s) == cid]
+            cid, n = np.array([c for c, _ in found], np.int64), np.array([len(s) for _, s in found], np.int64)
+            if give == "bits":
+                out = {"cid": cid, "n": n, "bits": pa.array([bitmap(s).tobytes() for _, s in found], pa.binary())}
+            elif give == "hashes":
+                out = {"cid": cid, "hashes": pa.array([s.tobytes() for _, s in found], pa.binary())}
+            else:
+                out = {"cid": np.repeat(cid, n), "n": np.repeat(n, n), "key": np.concatenate([*[s for _, s in found], np.empty(0, np.int64)])}
+            yield pa.RecordBatch.from_pydict(out)
+    schema = {"bits": "cid bigint, n bigint, bits binary", "hashes": "cid bigint, hashes binary", "key": "cid bigint, n bigint, key bigint"}
+    out = rows.select("cid", "text").mapInArrow(run, schema[give])
+    return out.dropDuplicates(["cid", "key"] if give == "key" else ["cid"]) if repeats else out
+
+
+def _linked(pairs: DataFrame, bits: DataFrame, made: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Those of ``pairs`` (``a, b``: class ids) whose sets are similar: size, bitmaps (``cid, n, bits``), then exact
+    intersection of the sets that ``made`` gives (``cid, hashes``) for classes (``cid``)."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col("cid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in df.columns if c != "cid"])
 
     def enough(x: int, n_a: int, n_b: int) -> bool:
         return 100 * x >= percent * (n_a + n_b - x)
@@ -194,15 +202,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = np.sort(np.concatenate((p, q)), kind="stable")
                 ok.append(enough(int((both[1:] == both[:-1]).sum()), len(p), len(q)))
             yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-    near = (pairs.join(side("a", ("n", "bits")), "a").join(side("b", ("n", "bits")), "b")
+    near = (pairs.join(side(bits, "a"), "a").join(side(bits, "b"), "b")
             .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
             .mapInArrow(bounded, "a bigint, b bigint"))
     near = cut_lineage(near, "near")
-    left, right = side("a", ("hashes",)), side("b", ("hashes",))
-    if near.count() <= BROADCAST_ROWS:  # only the sets of these pairs are sent
-        left = left.join(F.broadcast(near.select("a").distinct()), "a", "left_semi")
-        right = right.join(F.broadcast(near.select("b").distinct()), "b", "left_semi")
-    met = near.join(left, "a").join(right, "b")
+    met = near
+    for name in ("a", "b"):
+        met = met.join(side(made(near.select(F.col(name).alias("cid")).distinct()), name), name)
     return met.select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, "a bigint, b bigint")
 
 
@@ -264,16 +270,24 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     docs = docs.select("doc_id", "text")
     keyed = cut_lineage(_signed(docs, words, percent), "keyed")
     signed = cut_lineage(keyed.select("doc_id", "n", "cid"), "signed")
-    classes = signed.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    classes = signed.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+    classes = cut_lineage(classes, "classes")
+    repeats = bool(signed.where(F.col("cid").isNotNull()).groupBy("cid", "doc_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).limit(1).count())
     keys = keyed.select("cid", F.explode("keys").alias("key"))
     # keys that two rows or more have; equal documents count as several here and meet as one class below
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
     rows = cut_lineage(keys.join(shared, "key").groupBy("cid", "key").agg(F.first("df").alias("df")), "shared")
     release(keyed)
-    sets = cut_lineage(_sets(docs, rows.select("cid").distinct().join(classes, "cid"), words), "sets")
-    sized = cut_lineage(rows.join(sets.select("cid", "n"), "cid"), "sized")
+    bits = cut_lineage(_sets(docs, rows.select("cid").distinct().join(classes, "cid"), words, "bits", repeats), "bits")
+    sized = cut_lineage(rows.join(bits.select("cid", "n"), "cid"), "sized")
     release(rows)
 
+    def made(ids: DataFrame) -> DataFrame:
+        return _sets(docs, ids.join(classes, "cid"), words, "hashes", repeats)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return cut_lineage(_linked(pairs, bits, made, percent), "links")
+
     links = []
     comp = None
     for turn in range(LINK_ROUNDS):  # the best-known class of a key is the one whose keys are shared most
@@ -289,7 +303,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
             to = comp.select(F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
             pairs = pairs.join(of, "a", "left").join(to, "b", "left").where(
                 F.coalesce(F.col("comp_a") != F.col("comp_b"), F.lit(True))).select("a", "b")
-        links.append(cut_lineage(_linked(pairs, sets, percent), "links"))
+        links.append(linked(pairs))
         comp = _merged(comp, links[-1])
 
     grouped = cut_lineage(_with_groups(sized, comp).select("key", "cid", "comp", "n"), "grouped")
@@ -297,13 +311,14 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     spread = grouped.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("groups"))
     spread = cut_lineage(spread.where(F.col("groups") > 1), "spread")
     light = grouped.join(spread.where(F.col("groups") <= COMMON), "key").select("key", "cid", "comp", "n")
-    links.append(cut_lineage(_linked(cut_lineage(_tiles(light, percent), "pairs"), sets, percent), "links"))
+    links.append(linked(cut_lineage(_tiles(light, percent), "pairs")))
 
     hard = grouped.join(spread.where(F.col("groups") > COMMON), "key").select("cid").distinct()
     hard = cut_lineage(hard, "hard")
     release(grouped)
     if hard.limit(1).count():
-        links.append(cut_lineage(_linked(cut_lineage(_tiles(_rare_first(sets, hard, comp, percent), percent), "pairs"), sets, percent), "links"))
+        rare = _rare_first(_sets(docs, hard.join(classes, "cid"), words, "key", repeats), comp, percent)
+        links.append(linked(cut_lineage(_tiles(rare, percent), "pairs")))
     comp = _merged(comp, functools.reduce(DataFrame.unionByName, links[LINK_ROUNDS:]))
 
     return signed, classes.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -363,17 +378,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     return against(left, twice, "left_anti").unionByName(against(left, twice, "left_semi").dropDuplicates(["cid"])).select("doc.*")
 
 
-def _rare_first(sets: DataFrame, hard: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """``key, cid, comp, n``: the first shingles of the hard classes in the order of their frequency among these."""
-    def run(batches):
-        for part in _slices(batches):
-            sets_ = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
-            n = [len(s) for s in sets_]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)),
-                 pa.array(np.repeat(part.column(1).to_numpy(zero_copy_only=False), n)),
-                 pa.array(np.concatenate([*sets_, np.empty(0, np.int64)]))], names=["cid", "n", "key"])
-    own = sets.join(hard, "cid", "left_semi").select("cid", "n", "hashes").mapInArrow(run, "cid bigint, n bigint, key bigint")
+def _rare_first(own: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """``key, cid, comp, n``: the first shingles of the hard classes (``own``: ``cid, n, key``) in the order of their frequency among these."""
     df = own.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     many = own.join(df.where(F.col("df") > 1), "key")
     # shingles of one class only come first in the order and match nothing: they only use up places

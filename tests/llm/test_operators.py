@@ -138,6 +138,15 @@ def test_jaccard_second_order(spark, monkeypatch):
     assert Counter(tuple(r) for r in jaccard.near_duplicates(df).collect()) == components_of(rows)
 
 
+def test_jaccard_second_order_with_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", 2)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"u{i // 2}x{j}" for j in range(40)] + [f"only{i}"])) for i in range(24)]
+    df = spark.createDataFrame(rows * 3, "doc_id bigint, text string")
+    want = {r: 3 * c for r, c in components_of(rows).items()}
+    assert Counter(tuple(r) for r in jaccard.near_duplicates(df).collect()) == want
+
+
 def test_one_of_each_keeps_rows(spark, docs):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
