@@ -7,6 +7,8 @@ follow each other.  Text begins where the sums surge from zero and ends where
 they dive to zero; if that happens more than once, the stretch with the most
 text is the article, and an element that says it is the article joins its
 stretches.  Lines between surge and dive are kept, however short.
+Marks hide by whole names of class, id and role;
+an element with most of the page's text, or around ``main``, is not hidden.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,47 +33,88 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
                   "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section "
                   "summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role that mark what is not the article.
-MARKS = frozenset("ad ads adv advert advertisement advertising adsbygoogle banner breadcrumb breadcrumbs comment comments commentlist "
-                  "consent cookie cookies disqus footer gdpr header masthead menu nav navbar navigation newsletter notice notices "
-                  "pager pagination popup promo promoted promotion related replies respond share sharing sidebar social sponsor "
-                  "sponsored subscribe subscription toolbar topbar widget widgets modal overlay complementary contentinfo search".split())
+#: Words that mark advertising, and what readers wrote.
+ADS = frozenset("ad ads adv advert advertisement advertising adsbygoogle promo promoted promotion sponsor sponsored".split())
+REPLIES = frozenset("comment comments commentlist disqus replies respond".split())
+#: Words that belong to the article if they stand inside one.
+OWN = frozenset("header masthead notice notices".split())
+#: All words that mark what is not the article.
+MARKS = ADS | REPLIES | OWN | frozenset(
+    "banner breadcrumb breadcrumbs consent cookie cookies footer gdpr menu nav navbar navigation newsletter pager pagination popup "
+    "related share sharing sidebar social subscribe subscription toolbar topbar widget widgets modal overlay complementary "
+    "contentinfo search".split())
+#: Words that say nothing beside a mark ("share-buttons"); beside a header or footer only the first ones.
+PLACE = frozenset("site global top main bottom".split())
+PLAIN = PLACE | frozenset("left right primary secondary list area box bar container wrapper wrap block inner outer holder panel button "
+                          "buttons link links item items posts articles stories unit slot zone".split())
+#: Elements of running text; of the marks only advertising hides them.
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
+#: Blocks that are no container: their lines belong to the block around them.
+PARTS = TEXT | frozenset("ul ol li dl dt dd dir menu hr figure figcaption caption table tbody thead tfoot tr td th address center legend "
+                         "details summary option".split())
 #: Elements that say they hold the article; headers inside one belong to it.
 ARTICLE = frozenset(("article", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[a-z]{2,}")
 _SPACE = re.compile(r"\s+")
 
 
-def _marked(attributes: str) -> bool:
-    """Does an attribute say that this is not the article?"""
+def _marks(token: str, article: bool) -> frozenset[str]:
+    """The marks of one name of a class, id or role; none if it has words that are no marks ("has-sidebar", "related-work")."""
+    words = frozenset(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()))
+    marks = words & MARKS
+    place = PLACE if not marks.isdisjoint(("header", "masthead", "footer", "banner")) else PLAIN
+    return frozenset() if not words - marks <= place or article and marks <= OWN else marks
+
+
+def _marked(name: str, attributes: str, article: bool) -> tuple[bool, frozenset[str]]:
+    """Do the attributes hide the element from readers; the marks that say that it is not the article."""
+    marks: frozenset[str] = frozenset()
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id", "role"):
-            words = _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
-            if not MARKS.isdisjoint(words):
-                return True
-    return False
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return True, marks
+        if key in ("class", "id", "role") and name not in ARTICLE and not (key == "id" and name[0] == "h" and name[1:].isdigit()):
+            for token in value.split():
+                marks |= _marks(token, article)
+    return False, marks & ADS if name in TEXT else marks
+
+
+class _Away:
+    """An element that is not of the article, inside another one; ``fixed``: whatever it holds."""
+
+    __slots__ = ("around", "fixed", "replies", "size", "hides")
+
+    def __init__(self, around: _Away | None, fixed: bool, replies: bool):
+        self.around, self.fixed, self.replies, self.size, self.hides = around, fixed, replies, 0, True
+
+
+class Line(NamedTuple):
+    """A block with text: "" if it is not of the article."""
+
+    text: str
+    prose: int      # characters outside of links
+    article: int    # number of its article element (0: none)
+    container: int  # number of the block that holds its paragraph (0: the page)
+    parent: int     # number of the block around that (0: the page, or not to be asked)
 
 
 class _Open:
     """The open elements; finds the last of a name without a walk."""
 
     def __init__(self):
-        self.stack: list[tuple[str, bool, int]] = []  # name, hidden, number of the article element
+        self.stack: list[tuple[str, _Away | None, int, int, int]] = []  # name, what hides it, numbers as in Line
         self.at: dict[str, list[int]] = {}
         self.blocks: list[int] = []
 
-    def push(self, name: str, hidden: bool, article: int) -> None:
+    def push(self, name: str, away: _Away | None, article: int, container: int, parent: int) -> None:
         self.at.setdefault(name, []).append(len(self.stack))
         if name in BLOCK:
             self.blocks.append(len(self.stack))
-        self.stack.append((name, hidden, article))
+        self.stack.append((name, away, article, container, parent))
 
     def cut(self, size: int) -> None:
         while len(self.stack) > size:
@@ -84,24 +128,45 @@ class _Open:
         if (where := self.at.get(name)) and (name in BLOCK or not self.blocks or self.blocks[-1] < where[-1]):
             self.cut(where[-1])
 
-    def state(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0)
+    def state(self) -> tuple[_Away | None, int, int, int]:
+        return self.stack[-1][1:] if self.stack else (None, 0, 0, 0)
 
 
-def lines(page: str) -> list[tuple[str, int]]:
-    """Blocks with text, in page order: the text ("" if it is not of the article) and its article element (0: none)."""
-    out: list[tuple[str, int]] = []
+def _release(aways: list[_Away], total: int) -> None:
+    """An element that holds most of the page's text is not hidden; what readers wrote is, unless it is all there is."""
+    for a in reversed(aways):  # inner ones first
+        if a.around:
+            a.around.size += a.size
+    for a in aways:
+        most = a.size and (a.size == total if a.replies else 2 * a.size > total)
+        a.hides = (a.hides and not most or a.fixed) or bool(a.around and a.around.hides)
+
+
+def lines(page: str) -> list[Line]:
+    """Blocks with text, in page order."""
+    out: list[tuple[str, int, _Away | None, int, int, int]] = []
     text: list[str] = []
-    open_, articles, at = _Open(), 0, 0
+    aways: list[_Away] = []
+    open_, articles, containers, at, linked = _Open(), 0, 0, 0, 0
 
     def end() -> None:
-        hidden, article = open_.state()
+        nonlocal linked
+        away, *place = open_.state()
         if words := _SPACE.sub(" ", entities.unescape("".join(text))).strip():
-            out.append(("" if hidden else words, article))
+            out.append((words, max(len(words) - linked, 0), away, *place))
+            if away:
+                away.size += out[-1][1]
         text.clear()
+        linked = 0
+
+    def add(piece: str) -> None:
+        nonlocal linked
+        text.append(piece)
+        if open_.at.get("a"):
+            linked += len(piece)
 
     while m := _TOKEN.search(page, at):
-        text.append(page[at:m.start()])
+        add(page[at:m.start()])
         at, name = m.end(), (m[1] or "").lower()
         if not name:
             continue
@@ -109,10 +174,10 @@ def lines(page: str) -> list[tuple[str, int]]:
             text.append(" ")
             continue
         if page[m.start() + 1] == "/":
-            hidden = open_.state()[0]
+            away = open_.state()[0]
             if name in BLOCK:
                 end()
-            elif hidden and open_.stack[-1][0] == name:
+            elif away and open_.stack[-1][0] == name:
                 end()  # the end of a hidden inline element
             open_.close(name)
             continue
@@ -127,25 +192,42 @@ def lines(page: str) -> list[tuple[str, int]]:
         if name == "p":  # a paragraph ends where the next begins
             last = open_.blocks[-1] if open_.blocks else -1
             open_.cut(last if last >= 0 and open_.stack[last][0] == "p" else last + 1)
-        hidden, article = open_.state()
-        away = _marked(m[2]) and name not in ("body", "html") or name in ASIDE and not (name == "header" and article)
-        if name in ARTICLE and not (article or hidden or away):
+        away, article, container, parent = open_.state()
+        gone, marks = _marked(name, m[2], bool(article)) if name not in ("body", "html") else (False, frozenset())
+        if open_.at.get("pre"):
+            marks = frozenset()  # colours of program text
+        aside = name in ASIDE and not (name == "header" and article)
+        fixed = gone or aside and name != "form"
+        inner = away
+        if (fixed or aside or marks) and not (away and away.fixed):
+            inner = _Away(away, fixed, bool(marks) and marks <= REPLIES)
+            aways.append(inner)
+        if name == "main":  # what it stands in is not beside the article
+            a = inner
+            while a and not a.fixed and a.hides:
+                a.hides, a = False, a.around
+        if name in ARTICLE and not (article or inner and inner.fixed):
             articles += 1
             article = articles
-        if away and not hidden and name not in BLOCK:
+        if inner is not away and not (away and away.hides) and name not in BLOCK:
             end()
-        open_.push(name, hidden or away, article)
-    text.append(page[at:])
+        if name in BLOCK and name not in PARTS and name not in ("body", "html", "head"):
+            containers += 1
+            parent = 0 if name in ARTICLE else container
+            container = containers
+        open_.push(name, inner, article, container, parent)
+    add(page[at:])
     end()
-    return out
+    _release(aways, sum(prose for _, prose, away, *_ in out if not (away and away.fixed)))
+    return [Line("" if away and away.hides else words, prose, *place) for words, prose, away, *place in out]
 
 
 def main_text(page: str | None) -> str:
     """The main text: blocks in page order, one line each; "" if there is none."""
     found = lines(page or "")
-    if any(a and t for t, a in found):
-        found = [(t if a else "", a) for t, a in found]  # the page says where its article is
-    sizes = [len(t) for t, _ in found]
+    if any(x.article and x.text for x in found):
+        found = [x if x.article else x._replace(text="") for x in found]  # the page says where its article is
+    sizes = [len(x.text) for x in found]
     sums = [sum(sizes[i:i + WINDOW]) for i in range(len(sizes))]  # of the window that begins here
     stretches: list[tuple[int, int]] = []
     at = 0
@@ -159,9 +241,9 @@ def main_text(page: str | None) -> str:
     if not stretches:
         return ""
     top = max(stretches, key=lambda s: (sum(sizes[s[0]:s[1]]), -s[0]))
-    inside = {found[i][1] for i in range(*top) if sizes[i]} - {0}
-    keep = [s for s in stretches if s == top or inside and any(found[i][1] in inside for i in range(*s) if sizes[i])]
-    return "\n".join(t for a, b in keep for t, _ in found[a:b] if t)
+    inside = {found[i].article for i in range(*top) if sizes[i]} - {0}
+    keep = [s for s in stretches if s == top or inside and any(found[i].article in inside for i in range(*s) if sizes[i])]
+    return "\n".join(x.text for a, b in keep for x in found[a:b] if x.text)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None, out: str = "text") -> DataFrame:

@@ -275,6 +275,25 @@ def test_html(spark):
     assert html.extract(df).count() == 9 and html.extract(df.limit(0)).count() == 0
 
 
+PARAGRAPHS = [f"paragraph {i} " + "of the text " * 12 + "end" for i in range(5)]
+MARKED = [('<main class="has-sidebar">%s</main>', ""), ('<article class="no-sidebar">%s</article>', ""), ('<div id="page" class="header-fixed">%s</div>', ""),
+          ('<article><div class="article-header"><h1>A</h1></div><h2 id="related-work">B</h2><p class="notice">C</p><p class="ad">D</p>'
+           '<section id="social-history">%s</section></article>', "A\nB\nC\n"),
+          ('<div class="sidebar">%s</div><p>x</p>', None), ('<form><div>%s</div></form>', ""), ('<div class="sidebar"><main>%s</main></div>', "")]
+
+
+@pytest.mark.parametrize("page, before", MARKED)
+def test_html_marks_are_whole_names(page, before):
+    text = "\n".join(PARAGRAPHS)
+    got = html.main_text(page % "".join(f"<p>{x}" for x in PARAGRAPHS))
+    assert got.startswith(text) if before is None else got == before + text
+
+
+def test_html_readers_text_stays_away():
+    long_comments = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    assert html.main_text(f"<div>A short body.</div><div id='comments'>{long_comments}</div><div class='share-buttons'>S</div>") == "A short body."
+
+
 def check_shards(rows, texts, n):
     sizes = defaultdict(int)
     slots = defaultdict(list)
