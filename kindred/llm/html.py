@@ -4,10 +4,12 @@ Markup is stripped first: every block element gives a line, and what stands in
 scripts, forms, menus, notices and the like gives an empty line, since it holds
 no text of the page.  Then text lengths are summed over windows of lines that
 follow each other.  Text begins where the sums surge from zero and ends where
-they dive to zero; if that happens more than once, the stretch with the most
-text is the article, and an element that says it is the article joins its
-stretches.  Lines between surge and dive are kept, however short.
-Marks hide by whole names of class, id and role;
+they dive to zero.  If that happens more than once, stretches of one article
+element or one container (or of containers side by side, if most of their text
+is no link) are one text, since what stands between them is hidden; the one with
+the most text is the article.  Lines between surge and dive are kept, however
+short.  An element that says it is the article decides, unless a container
+outside of it holds more text.  Marks hide by whole names of class, id and role;
 an element with most of the page's text, or around ``main``, is not hidden.
 """
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -54,6 +57,8 @@ PARTS = TEXT | frozenset("ul ol li dl dt dd dir menu hr figure figcaption captio
                          "details summary option".split())
 #: Elements that say they hold the article; headers inside one belong to it.
 ARTICLE = frozenset(("article", "main"))
+#: Characters of a paragraph; a container with less outside of all article elements is no article.
+PARAGRAPH = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -222,11 +227,34 @@ def lines(page: str) -> list[Line]:
     return [Line("" if away and away.hides else words, prose, *place) for words, prose, away, *place in out]
 
 
+def _decisive(found: list[Line]) -> bool:
+    """Is the article an article element?  Not if some container outside of all of them holds more text, and a paragraph at least."""
+    inside, outside = Counter(), Counter()
+    for x in found:
+        if x.text and x.article:
+            inside[x.article] += x.prose
+        elif x.text:
+            for c in {x.container, x.parent or x.container}:
+                outside[c] += x.prose
+    most = max(outside.values(), default=0)
+    return bool(inside) and (most < PARAGRAPH or most <= max(inside.values()))
+
+
+def _places(found: list[Line], sizes: list[int]) -> set[tuple[str, int]]:
+    """What makes a stretch one with another: an article element, a container, or the block around containers of prose."""
+    seen = [x for x, n in zip(found, sizes, strict=True) if n]
+    whole = 2 * sum(x.prose for x in seen) > sum(sizes)
+    return ({("article", x.article) for x in seen if x.article} | {("block", x.container) for x in seen if whole or not x.container}
+            | {("block", x.parent) for x in seen if whole and x.parent})
+
+
 def main_text(page: str | None) -> str:
     """The main text: blocks in page order, one line each; "" if there is none."""
     found = lines(page or "")
-    if any(x.article and x.text for x in found):
+    if _decisive(found):
         found = [x if x.article else x._replace(text="") for x in found]  # the page says where its article is
+    else:
+        found = [x._replace(article=0) for x in found]
     sizes = [len(x.text) for x in found]
     sums = [sum(sizes[i:i + WINDOW]) for i in range(len(sizes))]  # of the window that begins here
     stretches: list[tuple[int, int]] = []
@@ -240,10 +268,25 @@ def main_text(page: str | None) -> str:
         at = dive
     if not stretches:
         return ""
-    top = max(stretches, key=lambda s: (sum(sizes[s[0]:s[1]]), -s[0]))
-    inside = {found[i].article for i in range(*top) if sizes[i]} - {0}
-    keep = [s for s in stretches if s == top or inside and any(found[i].article in inside for i in range(*s) if sizes[i])]
-    return "\n".join(x.text for a, b in keep for x in found[a:b] if x.text)
+    places = [_places(found[a:b], sizes[a:b]) for a, b in stretches]
+    at_place: dict[tuple[str, int], list[int]] = {}
+    for i, known in enumerate(places):
+        for p in known:
+            at_place.setdefault(p, []).append(i)
+    left = set(range(len(stretches)))
+    best: list[int] = []
+    while left:  # stretches of one place are one text
+        group, more = [], [min(left)]
+        left.discard(more[0])
+        while more:
+            group.append(i := more.pop())
+            for p in places[i]:
+                new = [j for j in at_place.pop(p, ()) if j in left]
+                left.difference_update(new)
+                more += new
+        if sum(sum(sizes[slice(*stretches[i])]) for i in group) > sum(sum(sizes[slice(*stretches[i])]) for i in best):
+            best = group
+    return "\n".join(x.text for i in sorted(best) for x in found[slice(*stretches[i])] if x.text)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None, out: str = "text") -> DataFrame:

@@ -294,6 +294,21 @@ def test_html_readers_text_stays_away():
     assert html.main_text(f"<div>A short body.</div><div id='comments'>{long_comments}</div><div class='share-buttons'>S</div>") == "A short body."
 
 
+@pytest.mark.parametrize("page", ["<div>%s%s%s</div>", "<body>%s%s%s</body>", "<div><section>%s</section>%s<section>%s</section></div>",
+                                  "<div><div>%s</div><div>%s</div><div>%s</div></div>"])
+def test_html_hidden_list_splits_no_text(page):
+    related = "<ul class='related'>" + "<li><a href='x'>link</a>" * 6 + "</ul>"
+    parts = ["".join(f"<p>{x}</p>" for x in p) for p in (PARAGRAPHS[:3], PARAGRAPHS[3:])]
+    assert html.main_text(page % (parts[0], related, parts[1])) == "\n".join(PARAGRAPHS)
+
+
+def test_html_teaser_beside_body():
+    body = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    menu = "<nav>" + "<li>x" * 6 + "</nav>"
+    assert html.main_text(f"<div><article><h3>Teaser</h3><p>more</p></article></div>{menu}<div id='body'>{body}</div>") == "\n".join(PARAGRAPHS)
+    assert html.main_text(f"<article>{body}</article>{menu}<div>{PARAGRAPHS[0]}</div>") == "\n".join(PARAGRAPHS)
+
+
 def check_shards(rows, texts, n):
     sizes = defaultdict(int)
     slots = defaultdict(list)
