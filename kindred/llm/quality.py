@@ -4,8 +4,12 @@ Two histograms of a document are compared with the reference of its language:
 character classes and common function words.  A reference is the sum of the
 histograms of all documents with that language label, so it covers the whole
 corpus and takes one pass.  The distance is the Jensen-Shannon distance (base
-2, from 0 to 1).  Short texts have noisy histograms, so each comparison has a
-least length below which it has no say.
+2, from 0 to 1).  Short texts have noisy histograms, so the limits of texts of
+few words are wider: by what sampling adds to a squared distance, which falls
+with one over the length, counted in characters for the classes and in words for
+the common words.  A text without a label is compared with the nearest of all
+references.  A label without a reference names a language that is not known
+here: only the shares of letters, digits, white space and signs are compared.
 """
 
 from __future__ import annotations
@@ -33,7 +37,11 @@ class Rules:
 
     least_words: int = 20            # base rule: fewer words fail
     most_repeated_pct: int = 30      # base rule: more words in repeated 8-word windows fail
-    least_compared: int = 60         # the comparisons have no say below so many words
+    least_chars: int = 100           # the classes have no say below so many characters
+    full_words: int = 60             # the limits are wider below so many words
+    full_chars: int = 600            # and, for the classes, below so many characters
+    char_noise: float = 25.0         # added to the squared limit: times 1 / characters - 1 / full_chars
+    word_noise: float = 2.0          # added to the squared limit: times 1 / words - 1 / full_words
     char_distance: float = 0.20
     word_distance: float = 0.36
     least_reference_words: int = 1000  # a language with fewer words in all gives no reference
@@ -124,6 +132,27 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
+def _signs(chars: Column) -> Column:
+    """The character classes with all letters in one, whatever their script."""
+    letter = sum([chars[CLASSES.index(c)] for c in ("lower_other", "upper", "other")], chars[CLASSES.index("lower")])
+    return F.array(letter, *[chars[CLASSES.index(c)] for c in ("digit", "space", "line", "sentence", "symbol")])
+
+
+def _far(ref: Column, foreign: Column) -> Column:
+    """Distances ``c`` and ``w`` of both histograms from a reference, rounded, after what they are ordered by."""
+    c = F.round(js_distance(F.col("_chars"), F.when(foreign, _signs(ref["ref_chars"])).otherwise(ref["ref_chars"])), 4)
+    w = F.round(js_distance(F.col("hits"), ref["ref_hits"]), 4)
+    # a one-element array gives both distances a name that is evaluated once
+    return F.transform(F.array(F.struct(c.alias("c"), w.alias("w"))), lambda d: F.struct(
+        F.when(foreign, d["c"]).otherwise(d["c"] + d["w"]).alias("by"), d["c"].alias("c"), d["w"].alias("w")))[0]
+
+
+def _limit(limit: float, noise: float, n: Column, full: int, short: Column) -> Column:
+    """The limit of a distance, wider for a text of few words with less than ``full`` characters or words."""
+    more = noise * (1 / F.greatest(n, F.lit(1)) - 1 / full)
+    return F.when(short & (n < full), F.sqrt(F.lit(limit * limit) + more)).otherwise(F.lit(limit))
+
+
 def _repeats(df: DataFrame) -> DataFrame:
     """Adds ``n_repeat_words``: words in 8-word windows that occur twice or more.
 
@@ -164,22 +193,33 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: list[str] | None = None
     written once to the shared folder: the references need all of them before
     the first verdict.
 
-    Null or empty text: all counts 0, base failed.  No label, or a label whose
-    documents have too few words in all: no comparison, the base rules decide.
+    Null or empty text: all counts 0, base failed.  No label: compared with the
+    nearest reference.  A label whose documents have too few words in all: its
+    shares of letters, digits, white space and signs are compared with the
+    nearest reference, its common words are not.  If there is no reference at
+    all, the base rules decide.
     Repeated rows are judged alike and each stays a row; an empty table gives
     no rows.  Any length of text is read whole.
     """
     h = cut_lineage(signals(docs, keep), "signals")
     h = h.withColumn("base_failed", (F.col("n_words") < rules.least_words)
                      | (100 * F.col("n_repeat_words") > rules.most_repeated_pct * F.col("n_words")))
-    j = h.join(language_references(h, rules), F.col("lang") == F.col("ref_lang"), "left")
-    known = F.col("ref_lang").isNotNull() & (F.col("n_words") >= rules.least_compared)
-    j = (j.withColumn("char_distance", F.when(known,
-                                              F.round(js_distance(F.col("chars"), F.col("ref_chars")), 4)))
-         .withColumn("word_distance", F.when(known,
-                                             F.round(js_distance(F.col("hits"), F.col("ref_hits")), 4))))
-    diverges = (F.coalesce(F.col("char_distance") > rules.char_distance, F.lit(False))
-                | F.coalesce(F.col("word_distance") > rules.word_distance, F.lit(False)))
+    refs = language_references(h, rules)
+    nearest = refs.agg(F.collect_list(F.struct("ref_chars", "ref_hits")).alias("_refs"))
+    j = h.join(refs, F.col("lang") == F.col("ref_lang"), "left").crossJoin(F.broadcast(nearest))
+    own = F.col("ref_lang").isNotNull()
+    foreign = F.col("lang").isNotNull() & ~own
+    j = (j.withColumn("_refs", F.when(own, F.array(F.struct("ref_chars", "ref_hits"))).otherwise(F.col("_refs")))
+         .withColumn("_chars", F.when(foreign, _signs(F.col("chars"))).otherwise(F.col("chars")))
+         .withColumn("_n", F.aggregate("chars", F.lit(0).cast("long"), lambda s, x: s + x)))
+    far = F.array_min(F.transform("_refs", lambda r: _far(r, foreign)))
+    j = (j.withColumn("_d", F.when(F.col("n_words") > 0, far))
+         .withColumn("char_distance", F.when(F.col("_n") >= rules.least_chars, F.col("_d.c")))
+         .withColumn("word_distance", F.when((F.col("n_words") >= rules.least_words) & ~foreign, F.col("_d.w"))))
+    short = F.col("n_words") < rules.full_words
+    diverges = (F.coalesce(F.col("char_distance") > _limit(rules.char_distance, rules.char_noise, F.col("_n"), rules.full_chars, short), F.lit(False))
+                | F.coalesce(F.col("word_distance") > _limit(rules.word_distance, rules.word_noise, F.col("n_words"), rules.full_words, short),
+                             F.lit(False)))
     return j.withColumn("kept", ~F.col("base_failed") & ~diverges).select(
         "doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance",
         "word_distance", "kept")

@@ -58,6 +58,23 @@ def test_quality_divergence(spark):
     assert quality.judge(table(spark, good[:1]).limit(0)).count() == 0
 
 
+def test_quality_short_and_unlabelled(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8)))
+    text = lambda n: " ".join(str(rng.choice(PROSE.split())) if rng.random() < 0.5 else word() for _ in range(n))
+    junk = lambda n: " ".join(f"{w}{rng.choice(['%%%', '&&&', '***'])}" for w in text(n).split())
+    good = [(i, text(150), "en") for i in range(40)]
+    rows = [(100, junk(30), "en"), (101, junk(50), "en"), (102, junk(80), None), (103, junk(80), "xx"), (104, junk(40), None)]
+    fine = [(200, text(25), "en"), (201, text(50), "en"), (202, text(80), None), (203, text(30), None),
+            (204, " ".join("".join(rng.choice(list("оеаинтсрвлкмдпу"), rng.integers(2, 9))) for _ in range(80)) + ".", "ru")]
+    got = {r.doc.doc_id: r for r in quality.judge(table(spark, good + rows + fine)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not [i for i, *_ in rows if got[i].kept] and not [i for i, *_ in good + fine if not got[i].kept]
+    assert got[204].word_distance is None and got[204].char_distance is not None
+    alone = quality.judge(table(spark, [(1, junk(80), None)])).first()
+    assert alone.kept and alone.char_distance is None  # no reference at all
+
+
 def test_js_distance(spark):
     p, q = [3, 0, 5], [1, 1, 2]
     got = spark.range(1).select(quality.js_distance(F.lit(p).cast("array<bigint>"), F.lit(q).cast("array<bigint>"))).first()[0]
