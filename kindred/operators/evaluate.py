@@ -91,7 +91,8 @@ def threshold_curve(matched: DataFrame, gt: DataFrame, thresholds: list[float],
     """Scores of one matching at every threshold, from one pass over its edges.
 
     ``matched`` must be built in descending similarity (unique mapping, stable
-    matching): its matching at threshold t is then its own edges with sim >= t.
+    matching without ties): its matching at threshold t is then its own edges
+    with sim >= t.
     """
     by = by or []
     cuts = sorted(thresholds)
@@ -104,3 +105,11 @@ def threshold_curve(matched: DataFrame, gt: DataFrame, thresholds: list[float],
     curve = (steps.select(*by, "tp", "predicted", F.explode(F.slice(at, F.lit(1), F.col("level"))).alias("threshold"))
              .groupBy(*by, "threshold").agg(F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted")))
     return _score_columns(with_totals(curve, g.agg(F.count(F.lit(1)).alias("known"))), [*by, "threshold"])
+
+
+def with_empty(scored: DataFrame, asked: DataFrame, gt: DataFrame) -> DataFrame:
+    """Scores of every group of ``asked`` (its columns name it): a group without a match predicts nothing and scores 0."""
+    by = asked.columns
+    counts = asked.join(scored.select(*by, "tp", "predicted"), by, "left").fillna(0, ["tp", "predicted"])
+    known = gt.select("l_id", "r_id").distinct().agg(F.count(F.lit(1)).alias("known"))
+    return _score_columns(with_totals(counts, known), by)

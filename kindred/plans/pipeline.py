@@ -15,6 +15,7 @@ from kindred.operators.prepare import serialise, side_union
 from kindred.runtime import cut_lineage
 
 COMPONENTS = "ConnectedComponentsClustering"
+STABLE = "KiralyMSMApproximateClustering"
 
 RUN_SCHEMA = T.StructType([
     T.StructField("lm", T.StringType()), T.StructField("k", T.IntegerType()),
@@ -45,13 +46,23 @@ def score(ed: DataFrame, gt: DataFrame, clustering: str, threshold: float) -> Da
     return evaluate.evaluate_partition(found, gt) if clustering == COMPONENTS else evaluate.evaluate(found, gt)
 
 
+def _tied(by_k: DataFrame) -> list[int]:
+    """The k at which some record has edges of equal weight."""
+    many = [by_k.groupBy("k", side, "sim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k").distinct() for side in ("l_id", "r_id")]
+    return sorted(r["k"] for r in many[0].union(many[1]).distinct().collect())
+
+
 def run_grid(ed: DataFrame, gt: DataFrame, ks: list[int], clusterings: list[str], thresholds: list[float]) -> DataFrame:
     """Scores of every (k, clustering, threshold) from one graph built at the largest k.
 
     A smaller k is a filter on rank.  Matchers that take edges in descending
-    order run once per k and give all thresholds by counting.  Components run on
-    the spanning forest of each k, which is far smaller than the graph.
+    order run once per k and give all thresholds by counting; stable matching
+    does so only without ties, so it runs for each threshold where a record has
+    edges of equal weight.  Components run on the spanning forest of each k,
+    which is far smaller than the graph.  A (k, threshold) without edges scores 0.
     """
+    ks, thresholds = sorted({int(k) for k in ks}), sorted({float(t) for t in thresholds})
+    asked = ed.sparkSession.createDataFrame([(k, t) for k in ks for t in thresholds], "k int, threshold double")
     by_k = ed.withColumn("k", F.explode(F.filter(F.array(*[F.lit(int(k)) for k in ks]), lambda k: k >= F.col("rank"))))
     frames = []
     for name in clusterings:
@@ -61,11 +72,19 @@ def run_grid(ed: DataFrame, gt: DataFrame, ks: list[int], clusterings: list[str]
             at = forest.withColumn("threshold", F.explode(F.filter(cuts, lambda t: t <= F.col("sim"))))
             parts = cluster.components(at, ["k", "threshold"])
             out = evaluate.evaluate_partition(parts, gt, ["k", "threshold"])
+        elif name == STABLE:
+            above = cut_lineage(by_k.where(F.col("sim") >= min(thresholds)).select("k", "l_id", "r_id", "sim"), "above")
+            tied = _tied(above)
+            out = evaluate.threshold_curve(cluster.kiraly(above.where(~F.col("k").isin(tied)), ["k"]), gt, thresholds, ["k"])
+            if tied:
+                cuts = F.array(*[F.lit(t) for t in thresholds])
+                at = above.where(F.col("k").isin(tied)).withColumn("threshold", F.explode(F.filter(cuts, lambda t: t <= F.col("sim"))))
+                out = out.unionByName(evaluate.evaluate(cluster.kiraly(at, ["k", "threshold"]), gt, ["k", "threshold"]))
         else:
             # best match depends only on each record's best edges, so pruning commutes with it as well
             matched = cluster.MATCHERS[name](by_k.where(F.col("sim") >= float(min(thresholds))), ["k"])
             out = evaluate.threshold_curve(matched, gt, thresholds, ["k"])
-        frames.append(out.withColumn("clustering", F.lit(name)))
+        frames.append(evaluate.with_empty(out, asked, gt).withColumn("clustering", F.lit(name)))
     result = frames[0]
     for f in frames[1:]:
         result = result.unionByName(f)

@@ -44,6 +44,22 @@ def test_grid_scores_equal_single_runs(spark):
         assert pipeline.score(ed.where(F.col("rank") <= k), gt, name, t).first()["f1"] == f1, (k, name, t)
 
 
+def test_grid_scores_with_ties_and_without_edges(spark):
+    rng = random.Random(0)
+    rows = [(a, b, rng.choice([0.2, 0.4, 0.6]), 1 + i) for a in range(6) for i, b in enumerate(rng.sample(range(6), 3))]
+    ed = spark.createDataFrame(rows, "l_id long, r_id long, sim double, rank int").coalesce(1)
+    gt = spark.createDataFrame([(i, i) for i in range(6)], "l_id long, r_id long").coalesce(1)
+    names = ["UniqueMappingClustering", pipeline.STABLE]
+    grid = {(x["clustering"], x["threshold"]): x for x in pipeline.run_grid(ed, gt, [3], names, [0.1, 0.5, 0.9]).collect()}
+    assert set(grid) == {(n, t) for n in names for t in (0.1, 0.5, 0.9)}
+    for name in names:  # no edge is so heavy
+        x = grid[name, 0.9]
+        assert (x["tp"], x["predicted"], x["known"], x["f1"]) == (0, 0, 6, 0.0)
+    for t in (0.1, 0.5):
+        x, one = grid[pipeline.STABLE, t], pipeline.score(ed, gt, pipeline.STABLE, t).first()
+        assert (x["tp"], x["predicted"], x["f1"]) == (one["tp"], one["predicted"], one["f1"])
+
+
 def test_failed_configuration_becomes_a_row(spark):
     e = spark.createDataFrame([(1, "a b"), (2, "c d")], "id long, text string")
     gt = spark.createDataFrame([(1, 1)], "l_id long, r_id long")
