@@ -10,7 +10,6 @@ numbered inside their length, and the number decides the place.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -33,21 +32,15 @@ ROWS = 256
 
 @cache
 def _chunks(file: str) -> vocab.Chunks:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    model = Tokenizer.from_file(file)
-    model.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def pack(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
-    return vocab.Chunks(pack, MOST_CHUNKS)
+    return vocab.Chunks(vocab.json_packer(file, special=True), MOST_CHUNKS)
 
 
 def pieces(docs: DataFrame, limit: int = LIMIT, file: str | None = None) -> DataFrame:
     """Token pieces of every document: ``doc_id, piece, start, length, ids``.
 
     A document's ids are its text's ids and then id 0; null text counts as
-    empty and gives the one id 0.  More than ``limit`` ids are cut into pieces
+    empty and gives the one id 0.  No special tokens are added, but the string
+    of one inside a text stands for its id, as in the file's own library.  More than ``limit`` ids are cut into pieces
     of ``limit``, of which the first may be shorter.  ``ids`` holds
     little-endian unsigned 32-bit numbers.  Other columns are not read.
     """

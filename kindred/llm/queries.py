@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kindred.llm import bpe, html, jaccard, kdtree, langid, licenses, packing, quality, resample, sharding
+from kindred.llm import align, bpe, chat, html, jaccard, kdtree, langid, licenses, merkle, packing, quality, resample, sharding
+from kindred.runtime import cut_lineage
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -120,6 +121,84 @@ def op10(spark, sf_dir):
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op11_cross_tokenizer_alignment")
+def op11(spark, sf_dir):
+    """Which tokens of two tokenizers cover the same bytes of each document, and how usual are these pairs?"""
+    out = align.count_links(align.align(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return out.select("doc.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_chat_formatting", r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)),
+l AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS loss FROM c WHERE role = 'assistant' GROUP BY conv_id),
+t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+        CAST(sum(length(text) + len(regexp_extract_all(text, '<\\*/s>|\[\\*(?:SYS|/?INST|/?ROLE)\]'))
+             + CASE role WHEN 'system' THEN 5 WHEN 'user' THEN 6 WHEN 'assistant' THEN 7
+                    ELSE 13 + length(role) + len(regexp_extract_all(role, '<\\*/s>|\[\\*(?:SYS|/?INST|/?ROLE)\]')) END + 4) AS BIGINT) AS formatted_chars
+      FROM c GROUP BY conv_id)
+SELECT t.conv_id, n_turns, turns_sha256, length(coalesce(loss, '')) AS loss_chars, sha256(coalesce(loss, '')) AS loss_sha256, formatted_chars
+FROM t LEFT JOIN l ON l.conv_id = t.conv_id""")
+def op12(spark, sf_dir):
+    """Conversations as token ids with a loss mask, and digests of what these say when read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.digests(cut_lineage(chat.format_turns(turns.unionByName(planted)), "chat"))
+
+
+def _digest_sql(text: str) -> str:
+    """A leaf's digest in SQL, with ``text`` for the text."""
+    shown = [f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+             for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(shown)})"
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """Levels over ``{name}0 (tree, i, d)``: ``{name}r<k>`` holds the joined runs (null: one node is left), ``{name}<k>`` the nodes."""
+    return ", ".join(
+        f"""{name}r{k} AS (SELECT tree, i // 16 AS i, CASE WHEN any_value(c) > 1 THEN string_agg(d, '' ORDER BY i) END AS run, any_value(d) AS d
+FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM {name}{k}) GROUP BY tree, i // 16),
+{name}{k + 1} AS (SELECT tree, i, coalesce(sha256(run), d) AS d FROM {name}r{k})""" for k in range(levels))
+
+
+def _proof_sql(tree: str, place: str, name: str, levels: int, last: str) -> str:
+    """Steps ``{name}p<k>`` that add the siblings of each level to ``proof`` and fold them into ``folded``."""
+    steps = []
+    for k in range(levels):
+        at = f"({place} // {16 ** k} % 16)"
+        steps.append(f"""{name}p{k} AS (SELECT p.* REPLACE (
+proof || coalesce(left(run, 64 * {at}) || substr(run, 64 * {at} + 65), '') AS proof,
+coalesce(sha256(left(run, 64 * {at}) || folded || substr(run, 64 * {at} + 65)), folded) AS folded)
+FROM {last} p JOIN {name}r{k} r ON r.tree = p.{tree} AND r.i = p.{place} // {16 ** (k + 1)})""")
+        last = f"{name}p{k}"
+    return ", ".join(steps)
+
+
+#: Five levels a source and three over the sources: up to 1,048,576 rows a source, 4,096 sources.
+MERKLE_SQL = f"""
+WITH b AS (SELECT doc_id, coalesce('=' || source, '') AS tree, {_digest_sql('text')} AS leaf,
+  {_digest_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered,
+  xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x))),
+    lambda c, x: list_reduce(list_concat([xor(CAST(c AS BIGINT), CAST(x AS BIGINT))], [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295) AS crc FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  CASE WHEN crc % 5 = 0 THEN lowered ELSE leaf END AS folded, '' AS proof FROM b),
+n0 AS (SELECT tree, pos AS i, leaf AS d FROM l), {_tree_sql('n', 5)},
+s0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS i, d FROM n5), {_tree_sql('s', 3)},
+o AS (SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS place, d AS subroot FROM n5),
+q AS (SELECT l.*, o.place, o.subroot, '' AS top FROM l JOIN o ON o.tree = l.tree),
+{_proof_sql('tree', 'pos', 'n', 5, 'q')}, {_proof_sql('top', 'place', 's', 3, 'np4')}
+SELECT doc_id, leaf, subroot, s3.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = s3.d AS verified FROM sp2, s3"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark, sf_dir):
+    """The proof of every document against one root, and which changed documents it gives away."""
+    tampered = F.crc32(F.col("doc.doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.documents(table(spark, sf_dir, "documents"), tampered)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     """Language, quality, one of each group of near copies, packing."""

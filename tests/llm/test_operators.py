@@ -220,7 +220,7 @@ def test_bpe_random_texts(tiktoken_own):
 def test_packing(docs):
     from tokenizers import Tokenizer
     model = Tokenizer.from_file(vocab.path(vocab.MODEL))
-    model.encode_special_tokens = True
+    docs = docs.unionByName(table(docs.sparkSession, [(20, "to <|endoftext|> and<|endoftext|>.\n<|endoftext|>", "en")]))
     rows = packing.packed_documents(docs).collect()
     want = Counter()
     for r in docs.collect():
