@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -13,13 +15,47 @@ from kindred.operators import blocking as blk
 from kindred.operators import knn as nn
 from kindred.operators.encode import encode_sides
 from kindred.operators.prepare import side_union
+from kindred.runtime import shared_dir
 
 
-@query("b1_encode_text")
+@query("b1_encode_text", r"""
+WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'l' ELSE 'r' END AS side, coalesce(text, '') AS text FROM documents),
+x AS MATERIALIZED (SELECT DISTINCT text FROM d),
+w AS (SELECT text, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS t FROM x),
+f AS MATERIALIZED (SELECT text, CAST(('0x' || left(md5(t), 8))::BIGINT % 256 AS INT) AS dim, count(*) AS n FROM w GROUP BY ALL),
+i AS (SELECT dim, ln(((SELECT count(*) FROM x) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM f GROUP BY dim),
+v AS MATERIALIZED (SELECT text, dim, n * idf AS w FROM f JOIN i USING (dim)),
+s AS (SELECT text, sqrt(sum(w * w)) AS norm FROM v GROUP BY text)
+SELECT 'hashed_words' AS encoder, side, id, dim, round(CAST(CAST(w / norm AS FLOAT) AS DOUBLE), 5) AS value
+FROM d JOIN v USING (text) JOIN s USING (text) WHERE w <> 0""")
 def _(spark, sf):
     l, r = document_sides(spark, sf)
     left, right = encode_sides(side_union(l, r).select("side", "id", "text"), "hashed_words")
-    return left.unionByName(right).select("encoder", "side", "id", F.size("embedding").alias("dims"))
+    out = left.unionByName(right).select("encoder", "side", "id", F.posexplode("embedding").alias("dim", "value"))
+    return out.where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 5))
+
+
+@query("b1_embedding_store", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT DISTINCT text FROM d WHERE doc_id % 2 = 0), r AS (SELECT DISTINCT text FROM d WHERE doc_id % 2 = 1)
+SELECT 'left side' AS run, (SELECT count(*) FROM l) AS encoded UNION ALL SELECT 'both sides', (SELECT count(*) FROM r ANTI JOIN l USING (text))
+UNION ALL SELECT 'both sides again', 0 UNION ALL SELECT 'records with a vector', (SELECT count(*) FROM d)""")
+def _(spark, sf):
+    """How many texts reach the model when the same records are encoded again and again?"""
+    from kindred.operators import encode as en
+
+    def load():
+        import numpy as np
+        return lambda texts: np.array([[len(t), t.count(" ")] for t in texts])
+    en.register_model("text_shape", load)
+    l, r = document_sides(spark, sf)
+    both = side_union(l, r).select("side", "id", "text")
+    store = en.EmbeddingStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.encode(l.select("id", "text"), "text_shape")
+    store.encode(both, "text_shape")
+    have = store.encode(both, "text_shape").where(F.size("embedding") == 2).count()
+    rows = list(zip(["left side", "both sides", "both sides again", "records with a vector"], [*store.added, have], strict=True))
+    return spark.createDataFrame(rows, "run string, encoded bigint")
 
 
 @query("b2_knn_exact", f"WITH {sql_knn(10)} SELECT l_id, r_id, sim, rank FROM knn")

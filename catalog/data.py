@@ -70,9 +70,10 @@ knn AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION
 
 
 def sql_greedy(edges: str, out: str = "umc") -> str:
-    """CTEs that scan the edges of ``edges(l_id, r_id, sim)`` best first and keep a one-to-one matching."""
+    """CTEs that scan the edges of ``edges(l_id, r_id, sim)`` best first, ties by key, and keep a one-to-one matching."""
     return f"""
-{out}_e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sim DESC, l_id, r_id) AS i, l_id, r_id, sim FROM {edges}),
+{out}_e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sim DESC,
+  ('0x' || left(md5(l_id || ':' || r_id), 15))::BIGINT, l_id, r_id) AS i, l_id, r_id, sim FROM {edges}),
 {out}_g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS ls, []::BIGINT[] AS rs, []::BIGINT[] AS taken
   UNION ALL
   SELECT e.i, CASE WHEN list_contains(g.ls, e.l_id) OR list_contains(g.rs, e.r_id) THEN ls ELSE list_append(ls, e.l_id) END,

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.data import SQL_PROFILE, SQL_TRIALS, profiles, rounded, trials, vector_truth, vectors
+from catalog.cluster import sql_scores
+from catalog.data import SQL_PROFILE, SQL_TRIALS, profiles, rounded, sql_greedy, sql_knn, trials, vector_truth, vectors
 from kindred.operators import learn as ml
 from kindred.operators import recommend as rec
 from kindred.operators.analytics import max_f1
 from kindred.operators.prepare import PROFILE_COLUMNS
 from kindred.plans import pipeline
+from kindred.runtime import shared_dir
+from kindred.sources.trials import read_log
 
 DATASETS = [f"D{i}" for i in range(1, 11)]
 DOMAINS = {"lm": ["A", "N", "R"], "clustering": ["F", "O"]}
@@ -184,12 +189,52 @@ def _(spark, sf):
     return rec.attach_real(asked, t.where("sampler = 'gridsearch'"))
 
 
-@query("r4_run_recommended")
+_R4 = """a1 AS MATERIALIZED (SELECT l_id, r_id, sim FROM knn WHERE rank <= 5 AND sim >= 0.3), """ + sql_greedy("a1", "u1") + """,
+a2 AS MATERIALIZED (SELECT l_id, r_id, sim FROM knn WHERE rank <= 10 AND sim >= 0.25), """ + sql_greedy("a2", "u2") + """,
+a3 AS MATERIALIZED (SELECT l_id, r_id FROM knn WHERE rank <= 5 AND sim >= 0.35),
+nb AS MATERIALIZED (SELECT 'l' || l_id AS u, 'r' || r_id AS v FROM a3 UNION SELECT 'r' || r_id, 'l' || l_id FROM a3),
+walk AS (SELECT u, u AS v FROM nb UNION SELECT w.u, nb.v FROM walk w JOIN nb ON nb.u = w.v),
+cc AS MATERIALIZED (SELECT u, min(v) AS c FROM walk GROUP BY u),
+u3 AS (SELECT substr(a.u, 2)::BIGINT AS l_id, substr(b.u, 2)::BIGINT AS r_id FROM cc a JOIN cc b USING (c) WHERE a.u[1] = 'l' AND b.u[1] = 'r'),
+al AS (SELECT 'UniqueMappingClustering' AS clustering, 5 AS k, 0.3::DOUBLE AS threshold, l_id, r_id FROM u1
+  UNION ALL SELECT 'KiralyMSMApproximateClustering', 10, 0.25, l_id, r_id FROM u2 UNION ALL SELECT 'ConnectedComponentsClustering', 5, 0.35, l_id, r_id FROM u3),
+s AS (SELECT clustering, k, threshold, count(g.l_id) AS tp, count(*) AS predicted, (SELECT count(*) FROM gt) AS known
+  FROM al LEFT JOIN gt g ON g.l_id = al.l_id AND g.r_id = al.r_id GROUP BY ALL)"""
+
+
+@query("r4_run_recommended", f"""WITH RECURSIVE {sql_knn(10)}, {_R4}
+SELECT 'stored' AS lm, CAST(k AS INT) AS k, clustering, threshold, {sql_scores('tp', 'predicted', 'known')}, true AS timed, 'ok' AS status FROM s
+UNION ALL SELECT 'nobody', 5, 'UniqueMappingClustering', 0.3, NULL, NULL, NULL, true, 'failed'
+UNION ALL SELECT 'stored', 5, 'no such clustering', 0.3, NULL, NULL, NULL, true, 'failed'
+UNION ALL SELECT 'stored', 5, 'UniqueMappingClustering', 1.01, 0, 0, 0, true, 'ok'""")
+def _(spark, sf):
+    """Recommended configurations, each measured on its own; what fails is a row."""
+    l, r = vectors(spark, sf)
+    text = lambda e: e.select("id", F.col("label").cast("string").alias("text"), "embedding")
+    rows = [("stored", 5, "UniqueMappingClustering", 0.3), ("stored", 10, "KiralyMSMApproximateClustering", 0.25), ("stored", 5, "ConnectedComponentsClustering", 0.35),
+            ("nobody", 5, "UniqueMappingClustering", 0.3), ("stored", 5, "no such clustering", 0.3), ("stored", 5, "UniqueMappingClustering", 1.01)]
+    asked = spark.createDataFrame(rows, "lm string, k int, clustering string, threshold double")
+    out = pipeline.run_recommended(text(l), text(r), vector_truth(spark, sf), asked)
+    return out.withColumns({"timed": F.col("runtime") > 0, "status": F.regexp_extract("status", "^[a-z]+", 0)}).drop("runtime")
+
+
+@query("s5_search_log", f"""WITH RECURSIVE {sql_knn(10)}, {_R4}, w AS (SELECT *, {sql_scores('tp', 'predicted', 'known')} FROM s WHERE clustering <> 'ConnectedComponentsClustering'),
+r AS (SELECT unnest([(16, 'first'), (64, 'second')]) AS x)
+SELECT 'grid' AS sampler, 'vectors' AS dataset, CAST(x[1] AS INT) AS seed, 'stored' AS lm, CAST(k AS INT) AS k, clustering, threshold, precision, recall, f1,
+  3::BIGINT AS added_first, 0::BIGINT AS added_again FROM w, r
+UNION ALL SELECT 'grid', 'vectors', CAST(x[1] AS INT), 'stored', 5, 'UniqueMappingClustering', 1.01, 0, 0, 0, 3, 0 FROM r""")
 def _(spark, sf):
+    """A search of two seeds, interrupted after one trial, resumed, and run once more: the log holds each trial once."""
     l, r = vectors(spark, sf)
-    asked = spark.createDataFrame([("stored", 5, "UniqueMappingClustering", 0.3), ("stored", 10, "KiralyMSMApproximateClustering", 0.25),
-                                   ("stored", 5, "ConnectedComponentsClustering", 0.35)], "lm string, k int, clustering string, threshold double")
-    return pipeline.run_recommended(l, r, vector_truth(spark, sf), asked).drop("runtime")
+    rows = [(0, "stored", 5, "UniqueMappingClustering", 0.3), (1, "stored", 10, "KiralyMSMApproximateClustering", 0.25), (2, "stored", 5, "UniqueMappingClustering", 1.01)]
+    asked = spark.createDataFrame(rows, "trial bigint, lm string, k int, clustering string, threshold double")
+    path = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+    run = lambda seed, configs: pipeline.search_to_log(l, r, vector_truth(spark, sf), configs, path, "grid", "vectors", seed, at_once=2)
+    first = {seed: run(seed, asked.where("trial = 0")) + run(seed, asked) for seed in (16, 64)}
+    again = {seed: run(seed, asked) for seed in (16, 64)}
+    counts = spark.createDataFrame([(s, first[s], again[s]) for s in first], "seed int, added_first bigint, added_again bigint")
+    log = read_log(spark, path).join(counts, "seed")
+    return log.select("sampler", "dataset", "seed", *CONFIG, "precision", "recall", "f1", "added_first", "added_again")
 
 
 @query("r5_compare_real_and_predicted", f"""WITH {SQL_TRIALS},

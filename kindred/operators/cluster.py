@@ -1,15 +1,19 @@
 """Clustering of the similarity graph.
 
-Order is total everywhere: higher similarity first, then left id, then right
-id.  ``by`` columns name independent graphs that are clustered side by side in
-the same jobs (configurations of a search).
+Order is total everywhere.  Matchings take the higher similarity first, then
+the smaller tie key (``tie_key``), then left and right id: among equal weights
+the tie key mixes the edges, so rounds of mutually best edges end after about
+log n of them, where an order by ids would go along a chain of copies edge by
+edge.  Forests take the higher similarity, left id, right id.  ``by`` columns
+name independent graphs that are clustered side by side in the same jobs
+(configurations of a search).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.runtime import cut_lineage, release
@@ -20,100 +24,104 @@ def prune(ed: DataFrame, t) -> DataFrame:
     return ed.where(F.col("sim") >= t)
 
 
+def tie_key(l_id: Column, r_id: Column) -> Column:
+    """Order among edges of equal weight: the first 60 bits of the MD5 of both ids with a colon between."""
+    digest = F.md5(F.concat_ws(":", l_id.cast("string"), r_id.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def _edges(ed: DataFrame, by: list[str]) -> DataFrame:
     return ed.select(*by, "l_id", "r_id", F.col("sim").cast("double").alias("sim"))
 
 
+def _keyed(ed: DataFrame, by: list[str]) -> DataFrame:
+    return _edges(ed, by).withColumn("mix", tie_key(F.col("l_id"), F.col("r_id")))
+
+
 def _any(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
 
-def unique_mapping(ed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Greedy one-to-one matching, best edge first.
-
-    Each round accepts all edges that are best for both of their records, then
-    removes those records.  Under a total edge order this gives the same
-    matching as scanning the edges one by one.  Rounds go on until no edge is
-    left.  The per-record best edge is a combining aggregate, so a record with
-    very many edges does not meet in one task.
-    """
-    by = by or []
-    rest = cut_lineage(_edges(ed, by), "edges")
+def _dominant(edges: DataFrame, by: list[str]) -> DataFrame | None:
+    """Locally dominant matching ``(by, l_id, r_id, sim, mix)``: rounds of edges that are best for both of their records."""
+    rest = edges
     accepted = []
     while True:
-        best_l = (rest.groupBy(*by, "l_id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "r_id")).alias("b"))
-                  .select(*by, "l_id", F.col("b.r_id").alias("r_id"), (-F.col("b.s")).alias("sim")))
-        best_r = (rest.groupBy(*by, "r_id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "l_id")).alias("b"))
+        best_l = (rest.groupBy(*by, "l_id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "mix", "r_id")).alias("b"))
+                  .select(*by, "l_id", F.col("b.r_id").alias("r_id"), (-F.col("b.s")).alias("sim"), F.col("b.mix").alias("mix")))
+        best_r = (rest.groupBy(*by, "r_id").agg(F.min(F.struct((-F.col("sim")).alias("s"), "mix", "l_id")).alias("b"))
                   .select(*by, "r_id", F.col("b.l_id").alias("l_id")))
-        mutual = cut_lineage(best_l.join(best_r, [*by, "l_id", "r_id"]).select(*by, "l_id", "r_id", "sim"), "mutual")
+        mutual = cut_lineage(best_l.join(best_r, [*by, "l_id", "r_id"]).select(*by, "l_id", "r_id", "sim", "mix"), "mutual")
         if not _any(mutual):
             break
         accepted.append(mutual)
         used, rest = rest, cut_lineage(rest.join(mutual.select(*by, "l_id"), [*by, "l_id"], "left_anti")
                                        .join(mutual.select(*by, "r_id"), [*by, "r_id"], "left_anti")
-                                       .select(*by, "l_id", "r_id", "sim"), "edges")
-        release(used)
-    return reduce(DataFrame.unionByName, accepted) if accepted else rest
-
+                                       .select(*by, "l_id", "r_id", "sim", "mix"), "edges")
+        if used is not edges:
+            release(used)
+    return reduce(DataFrame.unionByName, accepted) if accepted else None
 
-def _sole_best(rest: DataFrame, by: list[str], node: str) -> DataFrame:
-    """Per record: its top similarity, if exactly one edge has it."""
-    tiers = rest.groupBy(*by, node, "sim").agg(F.count(F.lit(1)).alias("c"))
-    return (tiers.groupBy(*by, node).agg(F.max("sim").alias("sim"), F.max_by("c", "sim").alias("c"))
-            .where(F.col("c") == 1).drop("c"))
 
+def unique_mapping(ed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Greedy one-to-one matching, best edge first.
 
-def _with_ties(rest: DataFrame, by: list[str]) -> DataFrame:
-    """Deferred acceptance with one promotion for records whose list is exhausted.
-
-    Left records propose down their list; a right record keeps the best offer
-    (similarity, then promoted proposers, then the smaller left id).
+    Each round accepts all edges that are best for both of their records, then
+    removes those records.  Under a total edge order this gives the same
+    matching as scanning the edges one by one.  Rounds go on until no edge is
+    left.  The per-record best edge is a combining aggregate, so a record with
+    very many edges does not meet in one task.
     """
-    w = Window.partitionBy(*by, "l_id").orderBy(F.desc("sim"), "r_id")
-    ranked = cut_lineage(rest.withColumn("pos", F.row_number().over(w)), "ranked")
-    degree = ranked.groupBy(*by, "l_id").agg(F.max("pos").alias("degree"))
-    free = cut_lineage(degree.select(*by, "l_id", "degree", F.lit(1).alias("pos"), F.lit(0).alias("promoted")), "free")
-    cols = [*by, "l_id", "r_id", "sim", "pos", "promoted", "degree"]
-    held = None
-    while _any(free):
-        offers = free.join(ranked, [*by, "l_id", "pos"]).select(*cols)
-        if held is not None:
-            offers = offers.unionByName(held)
-        w_r = Window.partitionBy(*by, "r_id").orderBy(F.desc("sim"), F.desc("promoted"), "l_id")
-        judged = cut_lineage(offers.withColumn("place", F.row_number().over(w_r)), "offers")
-        held = judged.where(F.col("place") == 1).select(*cols)
-        refused = judged.where(F.col("place") > 1)
-        onward = refused.where(F.col("pos") < F.col("degree")).withColumn("pos", F.col("pos") + 1)
-        again = (refused.where((F.col("pos") >= F.col("degree")) & (F.col("promoted") == 0))
-                 .withColumn("pos", F.lit(1)).withColumn("promoted", F.lit(1)))
-        free = cut_lineage(onward.unionByName(again).select(*by, "l_id", "degree", "pos", "promoted"), "free")
-    return held.select(*by, "l_id", "r_id", "sim") if held is not None else rest.limit(0)
+    by = by or []
+    edges = cut_lineage(_keyed(ed, by), "edges")
+    found = _dominant(edges, by)
+    return (edges if found is None else found).select(*by, "l_id", "r_id", "sim")
 
 
 def kiraly(ed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Approximate maximum stable matching.
-
-    An edge that is the only best one of both its records belongs to every
-    stable matching, so such edges are accepted in parallel rounds first.
-    Proposals are needed only for what is left, where weights tie.
+    """Approximate maximum stable matching: deferred acceptance with one promotion.
+
+    The locally dominant matching is what proposals down every left record's
+    list end in.  A left record that is left over, now or after it has been
+    displaced, is promoted once: a right record prefers higher similarity, then
+    a promoted proposer, then the smaller tie key.  Offers that a right record
+    refuses now it refuses for ever, so each round a free record goes straight
+    to the first one that takes it.  Without equal weights nobody does, and the
+    promotion is one look.
     """
     by = by or []
-    rest = cut_lineage(_edges(ed, by), "edges")
-    accepted = []
-    while True:
-        sure = rest.join(_sole_best(rest, by, "l_id"), [*by, "l_id", "sim"]).join(
-            _sole_best(rest, by, "r_id"), [*by, "r_id", "sim"]).select(*by, "l_id", "r_id", "sim")
-        sure = cut_lineage(sure, "sure")
-        if not _any(sure):
-            break
-        accepted.append(sure)
-        used, rest = rest, cut_lineage(rest.join(sure.select(*by, "l_id"), [*by, "l_id"], "left_anti")
-                                       .join(sure.select(*by, "r_id"), [*by, "r_id"], "left_anti")
-                                       .select(*by, "l_id", "r_id", "sim"), "edges")
-        release(used)
-    if _any(rest):
-        accepted.append(_with_ties(rest, by))
-    return reduce(DataFrame.unionByName, accepted) if accepted else rest
+    edges = cut_lineage(_keyed(ed, by), "edges")
+    found = _dominant(edges, by)
+    if found is None:
+        return edges.select(*by, "l_id", "r_id", "sim")
+    state = [*by, "l_id", "r_id", "sim", "mix", "promoted"]
+    held = cut_lineage(found.withColumn("promoted", F.lit(0)), "held")
+    free = cut_lineage(edges.select(*by, "l_id").distinct().join(held.select(*by, "l_id"), [*by, "l_id"], "left_anti")
+                       .withColumn("promoted", F.lit(1)), "free")
+    while _any(free):
+        now = held.select(*by, "r_id", F.col("l_id").alias("_l"), F.struct("sim", "promoted", (-F.col("mix")).alias("m")).alias("_worth"))
+
+        def taken(promoted: Column) -> Column:
+            return F.col("_worth").isNull() | (F.struct("sim", promoted.alias("promoted"), (-F.col("mix")).alias("m")) > F.col("_worth"))
+        seen = edges.join(free, [*by, "l_id"]).join(now, [*by, "r_id"], "left")
+        step = F.when(taken(F.col("promoted")), F.col("promoted")).when(taken(F.lit(1)), 1)
+        offers = (seen.withColumn("_step", step).where(F.col("_step").isNotNull()).groupBy(*by, "l_id")
+                  .agg(F.min(F.struct("_step", (-F.col("sim")).alias("s"), "mix", "r_id")).alias("o"))
+                  .select(*by, "l_id", "o.r_id", (-F.col("o.s")).alias("sim"), "o.mix", F.col("o._step").alias("promoted")))
+        offers = cut_lineage(offers, "offers")
+        won = (offers.groupBy(*by, "r_id").agg(F.max(F.struct("sim", "promoted", (-F.col("mix")).alias("m"), "l_id")).alias("w"))
+               .select(*by, F.col("w.l_id").alias("l_id"), "r_id", F.col("w.sim").alias("sim"), (-F.col("w.m")).alias("mix"),
+                       F.col("w.promoted").alias("promoted")))
+        won = cut_lineage(won, "won")
+        refused = offers.join(won.select(*by, "l_id"), [*by, "l_id"], "left_anti").select(*by, "l_id", "promoted")
+        displaced = held.join(won.select(*by, "r_id"), [*by, "r_id"], "left_semi").select(*by, "l_id", "promoted")
+        kept = held.join(won.select(*by, "r_id"), [*by, "r_id"], "left_anti").select(*state)
+        old_held, old_free = held, free
+        free = cut_lineage(refused.unionByName(displaced), "free")
+        held = cut_lineage(kept.unionByName(won.select(*state)), "held")
+        for used in (old_held, old_free, offers, won):
+            release(used)
+    return held.select(*by, "l_id", "r_id", "sim")
 
 
 def best_match(ed: DataFrame, by: list[str] | None = None) -> DataFrame:

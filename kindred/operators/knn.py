@@ -23,10 +23,11 @@ SIM_DIGITS = 8  # similarities are rounded here, so rank order does not depend o
 def _copies(df: DataFrame, id: str, vec: str) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors under their smallest id, and the (id, rep) membership.
 
-    Records without a vector, or with a null component, have no neighbours.
+    Records without a vector, or with a component that is null, NaN or infinite, have no neighbours.
     """
     df = df.select(F.col(id).alias("id"), F.col(vec).alias("v"))
-    df = df.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    df = df.where(F.col("v").isNotNull() & F.forall("v", finite))
     reps = df.groupBy("v").agg(F.min("id").alias("rep"))
     members = df.join(reps, "v").select("id", "rep")
     return reps, members
@@ -37,12 +38,13 @@ def _id_type(df: DataFrame, id: str) -> str:
 
 
 def _pack(df: DataFrame, keys: list[str], id_type: str) -> DataFrame:
-    """One row per block: ids in order and the unit vectors as float32 bytes."""
+    """One row per block: ids in order and the vectors as bytes, in the width of their column."""
+    width = _width(df)
     key_ddl = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
-        m = np.array(pdf["v"].tolist(), dtype=np.float32).reshape(len(pdf), -1)
+        m = np.array(pdf["v"].tolist(), dtype=width).reshape(len(pdf), -1)
         head = {k: [pdf[k].iloc[0]] for k in keys}
         return pd.DataFrame({**head, "ids": [pdf["rep"].tolist()], "m": [m.tobytes()]})
 
@@ -50,20 +52,25 @@ def _pack(df: DataFrame, keys: list[str], id_type: str) -> DataFrame:
             .applyInPandas(pack, f"{key_ddl}, ids array<{id_type}>, m binary"))
 
 
-def _unit(raw: bytes, n: int) -> np.ndarray:
-    m = np.frombuffer(raw, dtype=np.float32).reshape(n, -1).astype(np.float64)
+def _width(df: DataFrame) -> str:
+    """Number type of the vectors ``v``: doubles stay doubles."""
+    return "<f4" if df.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
+def _unit(raw: bytes, n: int, width: str) -> np.ndarray:
+    m = np.frombuffer(raw, dtype=width).reshape(n, -1).astype(np.float64)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norm == 0, 1.0, norm)
 
 
-def _best_in_cell(cells: DataFrame, k: int, l_type: str, r_type: str) -> DataFrame:
+def _best_in_cell(cells: DataFrame, k: int, l_type: str, r_type: str, l_width: str, r_width: str) -> DataFrame:
     """Multiply the two blocks of each row and keep k candidates per left vector."""
 
     def run(batches):
         for pdf in batches:
             for lids, lm, rids, rm in zip(pdf["lids"], pdf["lm"], pdf["rids"], pdf["rm"]):
                 lids, rids = np.asarray(lids), np.asarray(rids)
-                left, right = _unit(lm, len(lids)), _unit(rm, len(rids)).T
+                left, right = _unit(lm, len(lids), l_width), _unit(rm, len(rids), r_width).T
                 for start in range(0, len(lids), 1024):
                     sims = np.round(left[start:start + 1024] @ right, SIM_DIGITS)
                     if sims.shape[1] > k:
@@ -124,7 +131,7 @@ def knn(left: DataFrame, right: DataFrame, k: int, query_side: str = "left", blo
     rc = rb.select("rb", F.col("ids").alias("rids"), F.col("m").alias("rm"),
                    F.explode(F.sequence(F.lit(0), F.lit(n_l - 1))).alias("lb"))
     cells = lc.join(rc, ["lb", "rb"])
-    best = _top(_best_in_cell(cells, k, l_type, r_type), "l_rep", "r_rep", k).drop("rank")
+    best = _top(_best_in_cell(cells, k, l_type, r_type, _width(l_reps), _width(r_reps)), "l_rep", "r_rep", k).drop("rank")
     return _expand(best, l_members, r_members, k)
 
 
@@ -148,7 +155,7 @@ def _signatures(reps: DataFrame, id_type: str, bands: int, bits: int, seed: int)
                 code = ((m @ planes[b].T) > 0).astype(np.int64) @ weights
                 yield pd.DataFrame({"rep": pdf["rep"], "v": pdf["v"], "band": b, "code": code})
 
-    return reps.select("rep", "v").mapInPandas(run, f"rep {id_type}, v array<float>, band int, code bigint")
+    return reps.select("rep", "v").mapInPandas(run, f"rep {id_type}, v {reps.schema['v'].dataType.simpleString()}, band int, code bigint")
 
 
 def knn_approx(left: DataFrame, right: DataFrame, k: int, bands: int = 8, bits: int = 6, block_rows: int = 4096,
@@ -183,7 +190,7 @@ def knn_approx(left: DataFrame, right: DataFrame, k: int, bands: int = 8, bits:
     rc = rb.select("band", "code", "rb", F.col("ids").alias("rids"), F.col("m").alias("rm"),
                    F.explode(F.sequence(F.lit(0), F.col("n_l") - 1)).alias("lb"))
     cells = lc.join(rc, ["band", "code", "lb", "rb"])
-    found = _best_in_cell(cells, k, l_type, r_type).groupBy("l_rep", "r_rep").agg(F.max("sim").alias("sim"))
+    found = _best_in_cell(cells, k, l_type, r_type, _width(l_reps), _width(r_reps)).groupBy("l_rep", "r_rep").agg(F.max("sim").alias("sim"))
     best = _top(found, "l_rep", "r_rep", k).drop("rank")
     return _expand(best, l_members, r_members, k)
 

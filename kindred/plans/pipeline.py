@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.operators import analytics, cluster, em, evaluate, features, knn
+from kindred.operators import analytics, cluster, em, evaluate, features, knn, linkage
 from kindred.operators.blocking import overlap_block
-from kindred.operators.encode import encode_sides
+from kindred.operators.encode import EmbeddingStore, encode_sides
 from kindred.operators.prepare import serialise, side_union
 from kindred.runtime import cut_lineage
+from kindred.sources import trials
 
 COMPONENTS = "ConnectedComponentsClustering"
 STABLE = "KiralyMSMApproximateClustering"
@@ -26,12 +27,13 @@ RUN_SCHEMA = T.StructType([
 ])
 
 
-def similarity_graph(e1: DataFrame, e2: DataFrame, encoder: str, k: int, query_side: str = "left") -> DataFrame:
-    """Entities -> candidate edges.  Frames with an ``embedding`` column skip the encoder."""
-    if "embedding" in e1.columns:
+def similarity_graph(e1: DataFrame, e2: DataFrame, encoder: str, k: int, query_side: str = "left",
+                     store: EmbeddingStore | None = None) -> DataFrame:
+    """Entities -> candidate edges.  The encoder ``stored`` takes the frames' own ``embedding``; ``store`` keeps vectors for later runs."""
+    if encoder == "stored":
         return knn.knn(e1, e2, k, query_side)
     both = side_union(e1 if "text" in e1.columns else serialise(e1), e2 if "text" in e2.columns else serialise(e2))
-    left, right = encode_sides(both.select("side", "id", "text"), encoder)
+    left, right = encode_sides(both.select("side", "id", "text"), encoder, store)
     return knn.knn(left, right, k, query_side)
 
 
@@ -58,8 +60,8 @@ def run_grid(ed: DataFrame, gt: DataFrame, ks: list[int], clusterings: list[str]
     A smaller k is a filter on rank.  Matchers that take edges in descending
     order run once per k and give all thresholds by counting; stable matching
     does so only without ties, so it runs for each threshold where a record has
-    edges of equal weight.  Components run on the spanning forest of each k,
-    which is far smaller than the graph.  A (k, threshold) without edges scores 0.
+    edges of equal weight.  Components of all (k, threshold) are read off the
+    merges of one forest a k.  A (k, threshold) without edges scores 0.
     """
     ks, thresholds = sorted({int(k) for k in ks}), sorted({float(t) for t in thresholds})
     asked = ed.sparkSession.createDataFrame([(k, t) for k in ks for t in thresholds], "k int, threshold double")
@@ -67,11 +69,7 @@ def run_grid(ed: DataFrame, gt: DataFrame, ks: list[int], clusterings: list[str]
     frames = []
     for name in clusterings:
         if name == COMPONENTS:
-            forest = cut_lineage(cluster.spanning_forest(by_k.where(F.col("sim") >= float(min(thresholds))), ["k"]), "forest")
-            cuts = F.array(*[F.lit(float(t)) for t in thresholds])
-            at = forest.withColumn("threshold", F.explode(F.filter(cuts, lambda t: t <= F.col("sim"))))
-            parts = cluster.components(at, ["k", "threshold"])
-            out = evaluate.evaluate_partition(parts, gt, ["k", "threshold"])
+            out = linkage.component_curve(ed, gt, ks, thresholds)
         elif name == STABLE:
             above = cut_lineage(by_k.where(F.col("sim") >= min(thresholds)).select("k", "l_id", "r_id", "sim"), "above")
             tied = _tied(above)
@@ -91,34 +89,70 @@ def run_grid(ed: DataFrame, gt: DataFrame, ks: list[int], clusterings: list[str]
     return result.select("k", "clustering", "threshold", "tp", "predicted", "known", "precision", "recall", "f1")
 
 
-def run_search(e1: DataFrame, e2: DataFrame, gt: DataFrame, configs: DataFrame) -> DataFrame:
-    """Evaluate a table of configurations: one graph per encoder, failures kept as rows with a status."""
+def _one_run(graph: DataFrame, gt: DataFrame, config: dict) -> dict:
+    """Scores of one configuration; nothing but its own k and threshold is evaluated."""
+    k, t = int(config["k"]), float(config["threshold"])
+    got = score(graph.where(F.col("rank") <= k), gt, config["clustering"], t).first()
+    # a graph without an edge above the threshold predicts nothing
+    return {c: float(got[c]) if got is not None else 0.0 for c in ("precision", "recall", "f1")}
+
+
+def run_search(e1: DataFrame, e2: DataFrame, gt: DataFrame, configs: DataFrame, store: EmbeddingStore | None = None) -> DataFrame:
+    """Run a list of configurations one by one: scores, own runtime in seconds, and a status.
+
+    One graph is built for each encoder, at its largest k; its time is part of
+    the runtime of each of its configurations, as if it ran alone.  Every
+    configuration is a job group of its own.  Whatever fails inside one, an
+    unknown name or a Spark job, is the status of its row and ends nothing else.
+    For whole grids use ``run_grid``.
+    """
     spark = e1.sparkSession
-    encoders = [r["lm"] for r in configs.select("lm").distinct().orderBy("lm").collect()]
-    frames = []
-    for lm in encoders:
-        mine = configs.where(F.col("lm") == lm)
-        axes = mine.agg(F.collect_set("k").alias("k"), F.collect_set("clustering").alias("c"),
-                        F.collect_set(F.col("threshold").cast("double")).alias("t")).first()
-        started = time.time()
-        keyed = mine.select("lm", F.col("k").cast("int").alias("k"), "clustering", F.col("threshold").cast("double").alias("threshold"))
+    asked = [r.asDict() for r in configs.select("lm", "k", "clustering", "threshold").distinct().orderBy("lm", "clustering", "k", "threshold").collect()]
+    context, rows = spark.sparkContext, []
+    for lm in sorted({c["lm"] for c in asked}):
+        mine = [c for c in asked if c["lm"] == lm]
+        graph, broken, started = None, None, time.perf_counter()
         try:
-            ed = cut_lineage(similarity_graph(e1, e2, lm, max(axes["k"])), "graph")
-            grid = run_grid(ed, gt, sorted(axes["k"]), sorted(axes["c"]), sorted(axes["t"]))
-            scored = cut_lineage(keyed.join(grid, ["k", "clustering", "threshold"], "left"), "scores")
-            out = scored.select("lm", "k", "clustering", "threshold", *[F.coalesce(c, F.lit(0.0)).alias(c)
-                                                                         for c in ("precision", "recall", "f1")],
-                                F.lit(round(time.time() - started, 4)).alias("runtime"), F.lit("ok").alias("status"))
-        except (ValueError, KeyError) as problem:
-            none = F.lit(None).cast("double")
-            out = keyed.select("lm", "k", "clustering", "threshold", none.alias("precision"), none.alias("recall"),
-                               none.alias("f1"), F.lit(round(time.time() - started, 4)).alias("runtime"),
-                               F.lit(f"failed: {problem}").alias("status"))
-        frames.append(out)
-    result = spark.createDataFrame([], RUN_SCHEMA)
-    for f in frames:
-        result = result.unionByName(f)
-    return result
+            context.setJobGroup(f"graph {lm}", f"similarity graph of {lm}")
+            graph = cut_lineage(similarity_graph(e1, e2, lm, max(int(c["k"]) for c in mine), store=store), "graph")
+        except Exception as problem:  # kept as the status of every configuration of this encoder
+            broken = problem
+        shared = time.perf_counter() - started
+        for c in mine:
+            started, scores, status = time.perf_counter(), dict.fromkeys(("precision", "recall", "f1")), "ok"
+            try:
+                if broken is not None:
+                    raise broken
+                context.setJobGroup(f"run {lm} {c['clustering']} {c['k']} {c['threshold']}", "one configuration")
+                scores = _one_run(graph, gt, c)
+            except Exception as problem:
+                status = f"failed: {type(problem).__name__}: {str(problem).splitlines()[0] if str(problem) else ''}"
+            rows.append((lm, int(c["k"]), c["clustering"], float(c["threshold"]), scores["precision"], scores["recall"], scores["f1"],
+                         round(shared + time.perf_counter() - started, 4), status))
+    for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+        context.setLocalProperty(name, None)
+    return spark.createDataFrame(rows, RUN_SCHEMA)
+
+
+def search_to_log(e1: DataFrame, e2: DataFrame, gt: DataFrame, configs: DataFrame, path: str, sampler: str, dataset: str, seed: int,
+                  at_once: int = 20, store: EmbeddingStore | None = None) -> int:
+    """Run the configurations that the trials log does not hold yet for (sampler, dataset, seed), and append their trials.
+
+    ``configs`` holds ``trial, lm, k, clustering, threshold``.  Trials are
+    appended after every ``at_once`` runs, so an interrupted search goes on
+    where it stopped, and a finished one adds nothing.  Failed runs are not
+    logged and are tried again next time.  Returns how many trials were added.
+    """
+    spark = e1.sparkSession
+    mine = (F.col("sampler") == sampler) & (F.col("dataset") == dataset) & (F.col("seed") == seed)
+    done = trials.read_log(spark, path).where(mine).select(*trials.CONFIG)
+    left = configs.join(done, trials.CONFIG, "left_anti").orderBy("lm", "trial").collect()  # a search's own list
+    added, columns = 0, [*trials.CONFIG, "trial"]
+    for i in range(0, len(left), at_once):
+        part = spark.createDataFrame([tuple(r[c] for c in columns) for r in left[i:i + at_once]], "lm string, k int, clustering string, threshold double, trial bigint")
+        ran = run_search(e1, e2, gt, part, store).where("status = 'ok'").join(part, trials.CONFIG)
+        added += trials.append_new(ran.withColumns({"sampler": F.lit(sampler), "dataset": F.lit(dataset), "seed": F.lit(seed)}), path)
+    return added
 
 
 def run_recommended(e1: DataFrame, e2: DataFrame, gt: DataFrame, rec: DataFrame) -> DataFrame:

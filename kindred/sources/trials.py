@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindred.runtime import cut_lineage
+
 # Column order of a trials file.
 TRIAL_SCHEMA = T.StructType([
     T.StructField("trial", T.LongType()),
@@ -39,9 +41,34 @@ def append_trials(tr: DataFrame, path: str) -> None:
        .write.mode("append").partitionBy("sampler", "dataset").parquet(path))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet log; filters on sampler or dataset prune folders."""
-    return as_trials(spark.read.parquet(path))
+    """The Parquet log; filters on sampler or dataset prune folders.  A log that nothing was written to yet is empty."""
+    return as_trials(spark.read.parquet(path)) if _exists(spark, path) else spark.createDataFrame([], TRIAL_SCHEMA)
+
+
+# What tells one trial of a log from another.
+STUDY = ["sampler", "dataset", "seed"]
+CONFIG = ["lm", "k", "clustering", "threshold"]
+
+
+def append_new(tr: DataFrame, path: str) -> int:
+    """Append the trials that the log does not hold: one a study (sampler, dataset, seed) and configuration.
+
+    Appending the same trials again changes nothing.  Returns how many are new.
+    """
+    spark, keys = tr.sparkSession, [*STUDY, *CONFIG]
+    studies = tr.select(*STUDY).distinct()
+    held = read_log(spark, path).join(F.broadcast(studies) if studies.count() < 10_000 else studies, STUDY, "left_semi")
+    new = cut_lineage(as_trials(tr).dropDuplicates(keys).join(held.select(*keys), keys, "left_anti"), "new_trials")
+    n = new.count()
+    if n:
+        append_trials(new, path)
+    return n
 
 
 def read_trials(spark: SparkSession, paths: list[str]) -> DataFrame:

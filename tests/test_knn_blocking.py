@@ -44,6 +44,23 @@ def test_copies_and_k_larger_than_the_index(spark):
     assert rows(nn.knn(frame(spark, l), frame(spark, r), 50)) == brute(l, r, 50)
 
 
+def test_vectors_that_are_not_finite_take_no_part(spark):
+    l, r = vectors(12, 6, 3), vectors(9, 6, 4)
+    bad = [(100, [float("nan")] * 6), (101, [1.0, float("inf"), 0.0, 0.0, 0.0, 0.0]), (102, None), (103, [None] * 6)]
+    add = lambda m: frame(spark, m).unionByName(spark.createDataFrame(bad, "id long, embedding array<float>"))
+    assert rows(nn.knn(add(l), add(r), 2)) == brute(l, r, 2)
+    got = nn.knn_approx(add(l), add(r), 2, bands=8, bits=1).collect()
+    assert got and not [e for e in got if e["l_id"] >= 100 or e["r_id"] >= 100]
+
+
+def test_doubles_are_not_cut(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(4)
+    m = np.array([base + np.array([0, 0, 0, 1e-4]) * i for i in range(30)])  # too close for single precision
+    wide = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<double>")
+    assert rows(nn.knn(wide, wide, 3)) == brute(m, m, 3)
+
+
 def test_query_side(spark):
     l, r = vectors(15, 6, 5), vectors(10, 6, 6)
     got = rows(nn.knn(frame(spark, l), frame(spark, r), 3, "right"))
