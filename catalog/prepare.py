@@ -71,6 +71,11 @@ def _(spark, sf):
     return rounded(profiles(spark, sf))
 
 
+@query("p5_profile_of_name_value_pairs", f"""WITH {SQL_PROFILE} SELECT dataset, {_PROFILE_OUT} FROM profiles""")
+def _(spark, sf):
+    return rounded(prep.profile_pairs(prep.explode_pairs(profiled_entities(spark, sf), ["p_name", "p_brand", "p_type", "p_size"]), ["dataset"]))
+
+
 @query("p6_union_profiles", f"""
 WITH {SQL_PROFILE} SELECT dataset, {_PROFILE_OUT} FROM profiles
 UNION ALL SELECT 'X' || dataset, {_PROFILE_OUT} FROM profiles""")

@@ -8,6 +8,8 @@ pairs only (see ``operators.features``).
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,6 +76,10 @@ def absolute_norm(a: Column, b: Column) -> Column:
     return F.when(x.isNull() | y.isNull(), F.lit(None).cast("double")).otherwise(score)
 
 
+#: Token and value pairs that a worker remembers; memory only.
+REMEMBERED = 1 << 20
+
+
 def _jaro_score(s: str, t: str) -> float:
     if s == t:
         return 1.0
@@ -99,6 +105,7 @@ def _jaro_score(s: str, t: str) -> float:
     return (k / n + k / m + (k - moved) / k) / 3
 
 
+@lru_cache(maxsize=REMEMBERED)
 def _winkler_score(s: str, t: str, weight: float = 0.1) -> float:
     base = _jaro_score(s, t)
     shared = 0

@@ -252,8 +252,9 @@ def without_runtime(results: DataFrame, tr: DataFrame) -> DataFrame:
 
 
 def ordered_sample(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    """n rows in a seeded random order that does not depend on partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """n rows in a seeded random order, that of the MD5 of seed and keys, which does not depend on partitioning."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    return df.orderBy(digest, *keys).limit(n)
 
 
 def feature_gain(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.operators.encode import CONFIGURED_ENCODERS
+from kindred.runtime import running_sums
 
 # The configuration space and the search budgets and seeds.
 SPACE = {
@@ -55,8 +56,9 @@ def grid(spark: SparkSession, space: dict = SPACE) -> DataFrame:
 
 
 def uniform(seed: int, index: Column, name: str) -> Column:
-    """A number in [0, 1) that depends only on seed, index and name, never on partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), index, F.lit(name)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """A number in [0, 1) that depends only on seed, index and name, never on partitioning: 52 bits of their MD5."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), index.cast("string"), F.lit(name)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def random_configs(spark: SparkSession, n: int, seed: int, space: dict = SPACE) -> DataFrame:
@@ -92,8 +94,7 @@ def density_scores(tr: DataFrame, top: float = 0.25, t_bins: int = 10, k_bins: i
     all rows.
     """
     per_score = tr.groupBy("dataset", "f1").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("dataset").orderBy(F.desc("f1"))
-    run = per_score.withColumn("above", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = running_sums(per_score, ["dataset"], [F.desc("f1")], {"above": "n"})
     total = per_score.groupBy("dataset").agg(F.sum("n").alias("all"))
     cut = (run.join(total, "dataset").where(F.col("above") >= F.ceil(F.col("all") * F.lit(top)))
            .groupBy("dataset").agg(F.max("f1").alias("cut")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators.analytics import CONFIG, by_source, nonzero
 from kindred.operators.prepare import PROFILE_COLUMNS
-from kindred.runtime import broadcast_if_small
+from kindred.runtime import broadcast_if_small, cut_lineage
 
 
 def training_table(tr: DataFrame, profiles: DataFrame, kind: str = "all", with_features: bool = True) -> DataFrame:
@@ -147,6 +147,30 @@ def tune(name: str, features: list[str], train: DataFrame, valid: DataFrame, n:
     return model, draws[best], errors[best]
 
 
+def leave_one_out(table: DataFrame, features: list[str], regressors: dict[str, dict], target: str = "f1", seed: int = 42,
+                  by: str = "dataset", parallelism: int = 4) -> DataFrame:
+    """Predictions for every dataset by models that have not seen it: ``table`` with ``predicted``, ``regressor`` and ``fit_seconds``.
+
+    ``regressors`` maps a name to its parameters.  There is one fit for each
+    dataset and regressor; fits run side by side on the table, which is written once.
+    """
+    import time
+    from multiprocessing.pool import ThreadPool
+
+    table = cut_lineage(table, "folds")
+    held_out = [r[0] for r in table.select(by).distinct().orderBy(by).collect()]  # datasets of an experiment
+
+    def run(task):
+        dataset, (name, params) = task
+        started = time.perf_counter()
+        model = regressor(name.split(" ")[0], features, target, seed, **params).fit(table.where(F.col(by) != dataset))
+        out = model.transform(table.where(F.col(by) == dataset)).select(*table.columns, "predicted")
+        return out.withColumns({"regressor": F.lit(name), "fit_seconds": F.lit(time.perf_counter() - started)})
+    with ThreadPool(parallelism) as pool:
+        found = pool.map(run, [(d, r) for d in held_out for r in regressors.items()])
+    return reduce(DataFrame.unionByName, found)
+
+
 def inverse_error_weights(mse: dict[str, float]) -> dict[str, float]:
     total = sum(1 / m for m in mse.values())
     return {k: (1 / m) / total for k, m in mse.items()}

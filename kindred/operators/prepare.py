@@ -76,9 +76,33 @@ def profile(e: DataFrame, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("NumberOfDistinctValues"),
         F.size(F.array_distinct(F.flatten(F.collect_set("_attrs")))).cast("long").alias("NumberOfAttributes"),
     )
+    return _features(shape.join(domain, by), by)
+
+
+def profile_pairs(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """The features of ``profile`` from name-value rows ``(by, id, attr, value)``, empty and null values left out.
+
+    The plan has the same size for any number of attributes; records are put
+    together by adding up their values' words and lengths, and a text of all
+    attributes of the table has one blank less than attributes.
+    """
+    rows = pairs.select(*by, "id", "attr", F.col("value").cast("string").alias("value")).where("value is not null and value <> ''")
+    record = rows.groupBy(*by, "id").agg(F.count(F.lit(1)).alias("_pairs"), F.sum(F.size(words(F.col("value")))).alias("_toks"),
+                                         F.sum(F.length("value")).alias("_len"))
+    shape = record.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("InputEntityProfiles"), F.sum("_pairs").alias("NumberOfNameValuePairs"), F.max("_pairs").alias("MaxValuesPerEntity"),
+        F.avg("_toks").alias("AverageValueTokens"), F.avg("_len").alias("_length"))
+    values = rows.groupBy(*by, "value").agg(F.lit(1).alias("_one")).groupBy(*by).agg(F.count(F.lit(1)).alias("NumberOfDistinctValues"))
+    named = rows.groupBy(*by, "attr").agg(F.lit(1).alias("_one"))
+    attrs = named.groupBy(*by).agg(F.count(F.lit(1)).alias("NumberOfAttributes"))
+    blanks = named.groupBy("attr").agg(F.lit(1).alias("_one")).agg((F.count(F.lit(1)) - 1).alias("_blanks"))
+    whole = with_totals(shape.join(values, by).join(attrs, by), blanks)
+    return _features(whole.withColumn("AverageValueLength", F.col("_length") + F.col("_blanks")), by)
+
+
+def _features(joined: DataFrame, by: list[str]) -> DataFrame:
     f1, f2 = F.col("InputEntityProfiles"), F.col("NumberOfAttributes")
     f3, f4 = F.col("NumberOfDistinctValues"), F.col("NumberOfNameValuePairs")
-    joined = shape.join(domain, by)
     return joined.select(
         *by, f1, f2, f3, f4,
         (f4 / f1).alias("AverageNVPairsPerEntity"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     named = _FOLDERS.get(app) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("name a folder that all executors can reach: spark.checkpoint.dir or set_shared_dir()")
         named = _FOLDERS[app] = tempfile.mkdtemp(prefix="kindred-")
     return named.rstrip("/")
@@ -70,6 +70,26 @@ def broadcast_if_small(df: DataFrame, limit: int = 32 * 1024 * 1024) -> DataFram
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def running_sums(df: DataFrame, by: list[str], order: list, sums: dict[str, str]) -> DataFrame:
+    """Adds running sums inside each group of ``by`` in ``order``: ``sums`` names new columns and the ones they add up.
+
+    Rows are dealt out by ranges of (group, order), so a large group is spread
+    over tasks, and the ranges' own sums, a few numbers each, give every range
+    its start.  ``order`` holds columns or ``desc`` columns that tell the rows
+    of a group apart.  The result does not depend on the number of ranges.
+    """
+    groups = [F.col(c) for c in by]
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    dealt = df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+    held = cut_lineage(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    parts = held.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*by, "_range", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ran = held.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(starts, [*by, "_range"])
+    return ran.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop("_range", *[f"_b_{n}" for n in sums])
+
+
 def spread(df: DataFrame, keys: list[str], rows_per_task: int = 50_000) -> DataFrame:
     """Partition by row count instead of bytes, for narrow rows whose processing is expensive.
 
