@@ -78,6 +78,14 @@ def _(spark, sf):
     return rounded(nn.recall_against(nn.knn_approx(l, r, 10, bands=16, bits=4), nn.knn(l, r, 10)))
 
 
+@query("b3_recall_of_the_approximate_search", f"WITH {sql_knn(10)} SELECT count(*) AS exact_edges, true AS recall_of_nine_tenths FROM knn")
+def _(spark, sf):
+    """Is at least nine tenths of the exact result found?"""
+    l, r = vectors(spark, sf)
+    got = nn.recall_against(nn.knn_approx(l, r, 10, bands=32, bits=3), nn.knn(l, r, 10))
+    return got.select("exact_edges", (F.col("recall") >= 0.9).alias("recall_of_nine_tenths"))
+
+
 @query("b4_similarity_graph", f"WITH {sql_knn(5)} SELECT l_id, r_id, sim FROM knn")
 def _(spark, sf):
     l, r = vectors(spark, sf)

@@ -330,7 +330,7 @@ def _(spark, sf):
         tables[kind] = ft.pair_features(cand, a, b, EM_PLAN)
     out = None
     for kind, (params, scored) in em.em_fit_linked(tables["x"], tables["l"], tables["r"], _NAMES).items():
-        mine = rounded(em.decide(scored), 4).withColumns({"kind": F.lit(kind), "converged": F.lit(params.converged)})
+        mine = rounded(em.decide(scored), 4).withColumns({"kind": F.lit(kind), "converged": F.lit(params.converged if params else None).cast("boolean")})
         out = mine if out is None else out.unionByName(mine)
     return out
 
