@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.cluster import sql_scores
-from catalog.data import SQL_PARTS, aggregated_parts, part_truth, rounded, sql_overlap
+from catalog.data import PART_COLUMNS, SQL_PARTS, aggregated_parts, part_truth, rounded, sql_overlap
 from kindred.operators import em
 from kindred.operators import evaluate as ev
 from kindred.operators import features as ft
+from kindred.operators import prepare as prep
 from kindred.operators import transitivity as tr
 from kindred.operators.blocking import blocking_words, overlap_block
+from kindred.plans import pipeline
 from kindred.runtime import cut_lineage
 
 TYPES = {"p_name": "str_bt_1w_5w", "p_brand": "str_eq_1w", "p_type": "str_eq_1w", "p_size": "numeric"}
@@ -89,6 +91,23 @@ def _(spark, sf):
     return rounded(table_of(spark, sf, PLAN))
 
 
+@query("x2_feature_table_with_inferred_types", f"WITH {_PAIRS} {_sql_features(PLAN)}")
+def _(spark, sf):
+    """The plan follows from the content of both sides: attributes of one name, the wider of their types."""
+    cand, l, r = candidates(spark, sf)
+    found = prep.corresponding_types(prep.infer_types(l, PART_COLUMNS), prep.infer_types(r, PART_COLUMNS)).collect()  # one row an attribute
+    return rounded(ft.pair_features(cand, l, r, ft.feature_plan({t["attr"]: t["type"] for t in found})))
+
+
+@query("m9_fit_of_the_whole_plan")
+def _(spark, sf):
+    """Block, compare by every measure of the inferred types, fit without copies on either side, decide."""
+    l, r = aggregated_parts(spark, sf)
+    found = prep.corresponding_types(prep.infer_types(l, PART_COLUMNS), prep.infer_types(r, PART_COLUMNS)).collect()
+    params, scored = pipeline.unsupervised_match(l, r, "aggregate value", 3, {t["attr"]: t["type"] for t in found})
+    return rounded(scored.select("l_id", "r_id", "p", "pred"), 4).withColumn("converged", F.lit(params.converged))
+
+
 def _register_measure(name: str, measures: set[str]):
     plan = ft.feature_plan(TYPES, measures)
 
