@@ -25,7 +25,7 @@ from kindred.runtime import cut_lineage
 
 LIMIT = 2048
 #: Most remembered chunks of one worker; memory only.
-MOST_CHUNKS = 600_000
+MOST_CHUNKS = 250_000
 #: Rows that are held at a time inside a task.
 ROWS = 256
 

@@ -61,13 +61,17 @@ def json_packer(file: str, special: bool) -> Callable[[list[str]], list[bytes]]:
     files, ids are ranks and the faster library for ranks gives the same ids;
     other files and strings with special tokens go to the file's own library.
     """
-    from tokenizers import Tokenizer
     ids, names, ranked = byte_level(file)
-    model = Tokenizer.from_file(file)
-    model.encode_special_tokens = not special
+
+    @cache
+    def model():  # large, and rarely needed
+        from tokenizers import Tokenizer
+        made = Tokenizer.from_file(file)
+        made.encode_special_tokens = not special
+        return made
 
     def own(texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in model().encode_batch(texts, add_special_tokens=False)]
     if not ranked:
         return own
     import tiktoken
