@@ -1,10 +1,14 @@
 """Importance resampling with hashed n-gram models.
 
 Two bag-of-n-grams models over hashed single words and word pairs are counted:
-one of target texts, one of all texts.  A text's weight is the mean log ratio
-of the two over its n-grams times an effective length, so that long texts do
-not win by length alone.  Gumbel noise on the log weights and the k largest
-sums are a sample without replacement in proportion to the weights.
+one of target texts, one of all texts.  A text's log weight is the sum of the
+log ratios of its n-grams, that is the log of the ratio of what the two models
+give the text.  Gumbel noise on the log weights and the k largest sums are a
+sample without replacement in proportion to the weights.  Ratios of long texts
+are far apart; ``effective`` scales each to so many n-grams (off by default).
+
+Texts do not move: models of all texts need no key, and for the target ones
+each text's buckets, two bytes an n-gram, meet the labels.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from pyspark.sql import types as T
 from kindred.llm.common import whole_rows
 from kindred.runtime import cut_lineage
 
-#: Hash buckets of the models, n-grams that a text's mean log ratio is scaled to, rows held at a time.
-BUCKETS, EFFECTIVE, ROWS = 10_000, 100.0, 256
+#: Hash buckets of the models (at most 65,536), rows held at a time.
+BUCKETS, ROWS = 10_000, 256
 
 
 def grams(text: str, buckets: int = BUCKETS) -> np.ndarray:
@@ -39,43 +43,62 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def gram_counts(docs: DataFrame, target: Column, buckets: int = BUCKETS) -> np.ndarray:
-    """Counts of every bucket over all texts and over the target ones (2 rows); each task sends ``buckets`` rows at most."""
+def _totals(rows: DataFrame, counted, buckets: int) -> np.ndarray:
+    """Sums of the bucket counts that ``counted(batch)`` yields; each task sends ``buckets`` rows at most."""
     def run(batches):
-        total = np.zeros((2, buckets), dtype=np.int64)
+        total = np.zeros(buckets, dtype=np.int64)
         for part in _slices(batches):
-            for x, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                c = np.bincount(grams(x, buckets).astype(np.int64), minlength=buckets)
-                total[0] += c
-                if wanted:
-                    total[1] += c
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(total[0]), pa.array(total[1])], names=["b", "raw", "hit"])
-    out = np.zeros((2, buckets), dtype=np.int64)
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    for b, raw, hit in rows.mapInArrow(run, "b bigint, raw bigint, hit bigint").groupBy("b").agg(F.sum("raw"), F.sum("hit")).collect():
-        out[:, b] = raw, hit
+            for g in counted(part):
+                total += np.bincount(g, minlength=buckets)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["b", "n"])
+    out = np.zeros(buckets, dtype=np.int64)
+    for b, n in rows.mapInArrow(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n")).collect():
+        out[b] = n
     return out
 
 
+def gram_counts(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Counts of every bucket over all texts and over those whose ``doc_id`` is in ``target`` (once each), 2 rows.
+
+    Target ids grow with the corpus and are never broadcast.
+    """
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def packed(batches):
+        for part in _slices(batches):
+            found = [grams(x, buckets).astype("<u2").tobytes() for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc_id", "grams"])
+    raw = _totals(texts.select("text"), lambda part: (grams(x, buckets).astype(np.int64) for x in part.column(0).to_pylist()), buckets)
+    held = texts.where(F.col("doc_id").isNotNull()).mapInArrow(packed, f"doc_id {kind}, grams binary").join(target.hint("merge"), "doc_id", "left_semi")
+    hit = _totals(held.select("grams"), lambda part: (np.frombuffer(x, "<u2") for x in part.column(0).to_pylist()), buckets)
+    return np.stack((raw, hit))
+
+
 def log_ratio(counts: np.ndarray) -> np.ndarray:
     """Log ratio of the target model to the raw model, with one added to every count."""
     p = (counts + 1) / (counts + 1).sum(axis=1, keepdims=True)
     return np.log(p[1] / p[0])
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """``doc`` (the columns ``keep``, null: all) and ``log_weight``; texts without words (null, empty) get null."""
-    rows = whole_rows(docs).select((F.col("doc") if keep is None else F.struct(*[F.col(f"doc.`{c}`") for c in keep])).alias("doc"),
-                                   F.coalesce(F.col("doc.text"), F.lit("")).alias("text"))
+def weigh(docs: DataFrame, ratio: np.ndarray, keep: list[str] | None = None, effective: float | None = None, **beside: Column) -> DataFrame:
+    """``doc`` (the columns ``keep``, null: all), ``log_weight``, and ``beside`` (columns made from ``doc``).
+
+    Texts without words (null, empty) get null.
+    """
+    held = F.col("doc") if keep is None else F.struct(*[F.col(f"doc.`{c}`") for c in keep])
+    rows = whole_rows(docs).select(held.alias("doc"), F.coalesce(F.col("doc.text"), F.lit("")).alias("text"), *[c.alias(n) for n, c in beside.items()])
+    names = ["doc", "log_weight", *beside]
 
     def run(batches):
         for part in _slices(batches):
             w = []
             for x in part.column(1).to_pylist():
-                g = grams(x, len(ratio))
-                w.append(round(float(ratio[g.astype(np.int64)].mean()) * EFFECTIVE, 6) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w, pa.float64())], names=["doc", "log_weight"])
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("log_weight", T.DoubleType())]))
+                r = ratio[grams(x, len(ratio)).astype(np.int64)]
+                w.append(round(float(r.sum() if effective is None else r.mean() * effective), 6) if len(r) else None)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w, pa.float64()), *part.columns[2:]], names=names)
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("log_weight", T.DoubleType()), *[rows.schema[n] for n in beside]]))
 
 
 def gumbel(seed: int, *key: Column) -> Column:
@@ -113,7 +136,8 @@ def top(df: DataFrame, score: str, k: int, bins: int = 1024) -> DataFrame:
     return df.withColumn("selected", F.coalesce(F.col(score) >= low, F.lit(False)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 7, keep: list[str] | None = None,
+             effective: float | None = None) -> DataFrame:
     """``doc``, ``log_weight``, ``score`` (with noise) and ``selected`` for every document.
 
     Target texts are those that ``labels`` (``doc_id``, ``quality``) marks with
@@ -123,16 +147,12 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     are selected.  Null and empty texts have no weight and are not selected.
     Repeated rows have equal scores and are selected together.
     """
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_labelled")).agg(
-        F.max("quality").alias("_quality"))
-    n, good = marks.agg(F.count(F.lit(1)), F.sum((F.col("_quality") == 1).cast("int"))).first()
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    n, good = marks.agg(F.count(F.lit(1)), F.sum((F.col("quality") == 1).cast("int"))).first()
     share = share if share is not None else (good or 0) / n if n else 1.0
-    joined = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_labelled"), "left")
-    counts = gram_counts(joined, F.col("_quality") == 1)
+    counts = gram_counts(docs, marks.where("quality = 1").select("doc_id"))
     ratio = log_ratio(counts) if counts[1].any() else np.zeros(BUCKETS)
-    weighed = weigh(docs.withColumn("_noise", gumbel(seed, F.col("doc_id"))), ratio, None if keep is None else [*keep, "_noise"])
-    names = [c for c in (docs.columns if keep is None else keep)]
-    scored = cut_lineage(weighed.select(F.struct(*[F.col(f"doc.`{c}`") for c in names]).alias("doc"), "log_weight",
-                                        (F.col("log_weight") + F.col("doc._noise")).alias("score")), "scores")
+    weighed = weigh(docs, ratio, keep, effective, noise=gumbel(seed, F.col("doc.doc_id")))
+    scored = cut_lineage(weighed.select("doc", "log_weight", (F.col("log_weight") + F.col("noise")).alias("score")), "scores")
     texts = scored.where(F.col("log_weight").isNotNull()).count()
     return top(scored, "score", round(share * texts))
