@@ -36,7 +36,7 @@ def _letters(text: str) -> np.ndarray:
     """Code points of the lower-case letters, every run of anything else as one 0."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     far = c >= 0x250
-    letter = ((c >= 97) & (c <= 122)) | ((c >= 0xC0) & (c != 0xD7) & (c != 0xF7) & ~far)
+    letter = ((c >= 97) & (c <= 122)) | np.isin(c, (0xAA, 0xB5, 0xBA)) | ((c >= 0xC0) & (c != 0xD7) & (c != 0xF7) & ~far)
     if far.any():  # beyond Latin: ask for each distinct character
         seen, at = np.unique(c[far], return_inverse=True)
         letter = letter.copy()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm import bpe, html, jaccard, kdtree, langid, licenses, packing, quality, resample, sharding, vocab
 
+SHINGLE_COUNTS = jaccard.shingle_counts
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_words string, kept int, cid string, length int"
 PROSE = "the cat and the dog of the house is in that garden with a tree for as long as it was there "
 
@@ -147,6 +148,24 @@ def test_word_hashes_tell_words_apart():
     assert len(jaccard.word_hashes("a\u00a0b".encode())) == 1
 
 
+def test_word_hashes_tell_long_words_apart():
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))  # and its mirror: equal under any polynomial over 64-bit numbers
+    other = morse.translate(str.maketrans("ab", "ba"))
+    h = jaccard.word_hashes(f"{morse} {other} {morse.upper()}".encode())
+    assert h[0] != h[1] and h[0] == h[2]
+
+
+def test_any_counters_give_the_same_links(spark, docs, monkeypatch):
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join((passage if i % 2 else []) + [f"f{i // 4}x{j}" for j in range(60 + int(rng.integers(0, 6)))])) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = components_of(rows)
+    for counters in (1, 64, jaccard.COUNTERS):
+        monkeypatch.setattr(jaccard, "shingle_counts", lambda d, w, n=counters: SHINGLE_COUNTS(d, w, n))
+        assert Counter(tuple(r) for r in jaccard.near_duplicates(df).collect()) == want
+
+
 def test_jaccard_second_order(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COMMON", 2)
     passage = [f"p{i}" for i in range(60)]
@@ -195,6 +214,35 @@ def test_resample(spark, docs):
     assert all(g[3] for g in ((r.doc.doc_id, r.log_weight, r.score, r.selected) for r in resample.resample(docs, labels.limit(0)).collect()) if g[2] is not None)
 
 
+@pytest.mark.parametrize("effective", [None, 100.0])
+def test_resample_weights_are_the_log_ratio_of_the_models(spark, docs, effective):
+    labels = spark.createDataFrame([(11, 1), (14, 1), (14, 0), (12, 0), (10, 1), (99, 1)], "doc_id bigint, quality int")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    counts = np.zeros((2, resample.BUCKETS))
+    for d, text in rows:
+        for g in resample.grams(text or "").astype(int):
+            counts[0, g] += 1
+            counts[1, g] += d in (11, 14, 10)
+    assert (resample.gram_counts(docs, labels.where("quality = 1").select("doc_id").distinct()) == counts).all()
+    ratio = np.log((counts[1] + 1) / (counts[1] + 1).sum()) - np.log((counts[0] + 1) / (counts[0] + 1).sum())
+    got = Counter((r.doc.doc_id, r.log_weight) for r in resample.resample(docs, labels, effective=effective).collect())
+    want = Counter()
+    for d, text in rows:
+        r = ratio[resample.grams(text or "").astype(int)]
+        want[d, None if not len(r) else float(r.sum() if effective is None else r.mean() * effective)] += 1
+    near = lambda c: sorted((str(d), -1e9 if w is None else w) for d, w in c.elements())
+    for (a, x), (b, y) in zip(near(got), near(want), strict=True):
+        assert a == b and x == pytest.approx(y, abs=1e-4)
+
+
+def test_resample_draws_in_proportion_to_the_weights(spark):
+    n = 4000
+    rows = spark.createDataFrame([(i, float(np.log(3.0)) if i % 2 else 0.0) for i in range(n)], "doc_id bigint, w double")
+    scored = rows.withColumn("score", F.col("w") + resample.gumbel(3, F.col("doc_id")))
+    share = resample.top(scored, "score", n // 20).where("selected").agg(F.avg((F.col("w") > 0).cast("int"))).first()[0]
+    assert 0.68 < share < 0.82  # three to one
+
+
 @pytest.fixture(scope="module")
 def tiktoken_own():
     import tiktoken
