@@ -2,8 +2,11 @@
 
 A document is the set of its distinct five-word shingles, as 64-bit hashes.
 Documents with equal sets form one class and are compared once.  Two sets of
-similarity t or more share one of the ``n - ceil(t n) + 1`` smallest hashes of
-each, so classes that share such a key are candidates.  Candidates meet in
+similarity t or more share one of the first ``n - ceil(t n) + 1`` elements of
+each in any common order, so classes that share such a key are candidates.  The
+order goes from rare to frequent: a fixed table of counters is filled by one
+pass over all texts, and a shingle's place is its counter, then its hash.
+Candidates meet in
 tiles: a key and a band of sizes, and sets whose sizes lie more than one band
 apart are too different to link.  A pair is first judged by hashed bitmaps: a
 bit set in one and not in the other is a shingle that is not shared, which
@@ -15,14 +18,15 @@ Large groups need no large number of pairs, since only components count:
 * A few keys per class link it to the best-known class with the same key; what
   is linked then needs no further comparison inside its group.
 * Pairs are made between different groups only.
-* A key that many groups share (a passage, a notice) makes no pairs.  The
-  classes that have one are compared again under an order of all their shingles
-  from rare to frequent, where such keys come last.
+* A key that many groups share makes no pairs.  Passages and notices come last
+  in the order, so few classes have one; these are compared again under the
+  order of their shingles' exact frequency among themselves.  There, rounds of
+  stars come first: every class is compared with one class of each of its keys,
+  another one each round, which joins large groups without their pairs.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -39,10 +43,15 @@ from kindred.runtime import cut_lineage, release
 WORDS, PERCENT = 5, 80
 #: A key shared by more groups than this is compared under the second order.
 COMMON = 100
-#: Keys per class and rounds of the first linking.
+#: Keys per class and rounds of the first linking; most rounds of stars, and the share of pairs that must link for one more.
 LINK_KEYS, LINK_ROUNDS = 6, 2
-#: Rows held at a time in a task; more ids than this are not broadcast.
-ROWS, BROADCAST_ROWS = 256, 1_000_000
+STAR_ROUNDS, STAR_SHARE = 6, 0.02
+#: Rows held at a time in a task; more ids than this, of two numbers each, are not broadcast (4 MB).
+ROWS, BROADCAST_ROWS = 256, 250_000
+#: Counters of the order, four bytes each, whatever the corpus; a power of two.
+COUNTERS = 1 << 18
+#: Words with more bytes are hashed one by one: a polynomial over 64-bit numbers cannot tell some of these apart.
+LONG_WORD = 256
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9),
           np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 
@@ -78,6 +87,9 @@ def word_hashes(raw: bytes) -> np.ndarray:
     sums = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum(_VALUES[b] * up[:len(b)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        import xxhash
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i]:ends[i]].lower())
     h ^= h >> np.uint64(32)
     h *= _SEEDS[0]
     return h ^ (h >> np.uint64(29))
@@ -99,6 +111,27 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def shingle_counts(docs: DataFrame, words: int = WORDS, counters: int = COUNTERS) -> np.ndarray:
+    """How many rows have a shingle of each counter (the low bits of its hash); a task sends ``counters`` rows at most."""
+    def run(batches):
+        total = np.zeros(counters, dtype=np.int64)
+        for part in _slices(batches):
+            found = [shingles(x, words) for x in part.column(0).to_pylist()]
+            total += np.bincount(np.concatenate([*found, np.empty(0, np.int64)]) & (counters - 1), minlength=counters)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["c", "n"])
+    rows = docs.select("text").mapInArrow(run, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(counters, dtype=np.int64)
+    out[rows["c"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
+
+
+def rare_first(hashes: np.ndarray, counts: np.ndarray, few: int) -> np.ndarray:
+    """The ``few`` first of sorted hashes in the order of their counters, then of the hashes."""
+    place = counts[hashes & (len(counts) - 1)]
+    return hashes[np.argsort(place, kind="stable")[:few]]
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     """How many of the first elements, in any order of all shingles, must hold one that a similar set has."""
     return n - -(-n * percent // 100) + 1 if n else 0
@@ -135,13 +168,14 @@ def _class_id(hashes: np.ndarray) -> int:
 
 
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id, n, cid, keys`` of every row: ``cid`` names the set (null: empty), ``keys`` are its first shingles in hash order."""
+    """``doc_id, n, cid, keys`` of every row: ``cid`` names the set (null: empty), ``keys`` are its first shingles from rare to frequent."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, words))
 
     def run(batches):
         for part in _slices(batches):
             sets = [shingles(x, words) for x in part.column(1).to_pylist()]
-            first = [s[:prefix_size(len(s), percent)] for s in sets]
+            first = [rare_first(s, counts.value, prefix_size(len(s), percent)) for s in sets]
             ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
@@ -253,18 +287,48 @@ def _with_groups(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a < b`` of different groups that meet in a tile: same key, same or next band of sizes."""
+    """Pairs ``a < b`` of different groups that meet in a tile: same key, same or next band of sizes.
+
+    ``pos`` is the key's place in the order of the set.  If this is the first
+    key that two sets share, what they share lies at and behind it; a similar
+    pair has enough left there, and its first shared key says so.
+    """
     step = math.log(100 / percent)
     band = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
-    left = rows.select("key", band.alias("band"), F.col("cid").alias("x"), F.col("comp").alias("comp_x"), F.col("n").alias("n_x"))
+    left = rows.select("key", band.alias("band"), F.col("cid").alias("x"), F.col("comp").alias("comp_x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"))
     right = rows.select("key", F.explode(F.array(band - 1, band)).alias("band"), band.alias("_own"), F.col("cid").alias("y"),
-                        F.col("comp").alias("comp_y"), F.col("n").alias("n_y"))
+                        F.col("comp").alias("comp_y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y"))
+    left_over = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
     met = left.join(right, ["key", "band"]).where(
         (F.col("comp_x") != F.col("comp_y")) & ((F.col("_own") > F.col("band")) | (F.col("x") < F.col("y")))
-        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
+        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+        & ((100 + percent) * left_over >= percent * (F.col("n_x") + F.col("n_y"))))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _stars(rows: DataFrame, comp: DataFrame, linked: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Groups (``cid, comp``) after rounds in which the classes of a key (``rows``: ``key, cid, n``) meet one class of it that is in another group.
+
+    A round makes at most one pair a row.  Rounds go on while pairs link; what
+    they miss is left to the tiles.
+    """
+    for turn in range(STAR_ROUNDS):
+        now = _with_groups(rows, comp)
+        star = now.groupBy("key").agg(F.max_by(F.struct("cid", "comp", "n"), F.xxhash64("cid", "key", F.lit(turn))).alias("s"))
+        near = 100 * F.least("n", F.col("s.n")) >= percent * F.greatest("n", F.col("s.n"))
+        pairs = now.join(star, "key").where((F.col("comp") != F.col("s.comp")) & near).select(
+            F.least("cid", "s.cid").alias("a"), F.greatest("cid", "s.cid").alias("b")).distinct()
+        pairs = cut_lineage(pairs, "stars")
+        found = linked(pairs)
+        tried, met = pairs.count(), found.count()
+        release(pairs)
+        if met:
+            comp = _merged(comp, found)
+        if met <= STAR_SHARE * tried:
+            break
+    return comp
+
+
 def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """``doc_id, n, cid`` of every row, and ``cid, doc_id, comp`` of every class (its smallest id, its group)."""
     docs = docs.select("doc_id", "text")
@@ -273,10 +337,10 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     classes = signed.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     classes = cut_lineage(classes, "classes")
     repeats = bool(signed.where(F.col("cid").isNotNull()).groupBy("cid", "doc_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).limit(1).count())
-    keys = keyed.select("cid", F.explode("keys").alias("key"))
+    keys = keyed.select("cid", F.posexplode("keys").alias("pos", "key"))
     # keys that two rows or more have; equal documents count as several here and meet as one class below
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    rows = cut_lineage(keys.join(shared, "key").groupBy("cid", "key").agg(F.first("df").alias("df")), "shared")
+    rows = cut_lineage(keys.join(shared, "key").groupBy("cid", "key").agg(F.first("df").alias("df"), F.min("pos").alias("pos")), "shared")
     release(keyed)
     bits = cut_lineage(_sets(docs, rows.select("cid").distinct().join(classes, "cid"), words, "bits", repeats), "bits")
     sized = cut_lineage(rows.join(bits.select("cid", "n"), "cid"), "sized")
@@ -306,20 +370,22 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         links.append(linked(pairs))
         comp = _merged(comp, links[-1])
 
-    grouped = cut_lineage(_with_groups(sized, comp).select("key", "cid", "comp", "n"), "grouped")
+    grouped = cut_lineage(_with_groups(sized, comp).select("key", "cid", "comp", "n", "pos"), "grouped")
     release(sized)
     spread = grouped.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("groups"))
     spread = cut_lineage(spread.where(F.col("groups") > 1), "spread")
-    light = grouped.join(spread.where(F.col("groups") <= COMMON), "key").select("key", "cid", "comp", "n")
+    light = grouped.join(spread.where(F.col("groups") <= COMMON), "key").select("key", "cid", "comp", "n", "pos")
     links.append(linked(cut_lineage(_tiles(light, percent), "pairs")))
 
     hard = grouped.join(spread.where(F.col("groups") > COMMON), "key").select("cid").distinct()
     hard = cut_lineage(hard, "hard")
     release(grouped)
     if hard.limit(1).count():
-        rare = _rare_first(_sets(docs, hard.join(classes, "cid"), words, "key", repeats), comp, percent)
-        links.append(linked(cut_lineage(_tiles(rare, percent), "pairs")))
-    comp = _merged(comp, functools.reduce(DataFrame.unionByName, links[LINK_ROUNDS:]))
+        comp, links = _merged(comp, links[-1]), []
+        rare = _rare_first(_sets(docs, hard.join(classes, "cid"), words, "key", repeats), percent)
+        comp = _stars(rare, comp, linked, percent)
+        links.append(linked(cut_lineage(_tiles(_with_groups(rare, comp), percent), "pairs")))
+    comp = _merged(comp, links[-1])
 
     return signed, classes.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
@@ -378,8 +444,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     return against(left, twice, "left_anti").unionByName(against(left, twice, "left_semi").dropDuplicates(["cid"])).select("doc.*")
 
 
-def _rare_first(own: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """``key, cid, comp, n``: the first shingles of the hard classes (``own``: ``cid, n, key``) in the order of their frequency among these."""
+def _rare_first(own: DataFrame, percent: int) -> DataFrame:
+    """``key, cid, n, pos``: the first shingles of the hard classes (``own``: ``cid, n, key``) in the order of their frequency among these."""
     df = own.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     many = own.join(df.where(F.col("df") > 1), "key")
     # shingles of one class only come first in the order and match nothing: they only use up places
@@ -387,4 +453,4 @@ def _rare_first(own: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("cid").orderBy("df", "key")) + alone
     size = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
     first = many.withColumn("_at", place).where(F.col("_at") <= size)
-    return _with_groups(cut_lineage(first.select("cid", "n", "key"), "rare"), comp).select("key", "cid", "comp", "n")
+    return cut_lineage(first.select("key", "cid", "n", (F.col("_at") - 1).alias("pos")), "rare")
