@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from kindred.llm import vocab
 
 #: Most remembered pieces and token pairs of one worker; memory only, results do not depend on it.
-MOST_PIECES, MOST_PAIRS = 600_000, 500_000
+MOST_PIECES, MOST_PAIRS = 300_000, 500_000
 
 
 class Merges:
