@@ -22,7 +22,10 @@ Large groups need no large number of pairs, since only components count:
   in the order, so few classes have one; these are compared again under the
   order of their shingles' exact frequency among themselves.  There, rounds of
   stars come first: every class is compared with one class of each of its keys,
-  another one each round, which joins large groups without their pairs.
+  another one each round, which joins large groups without their pairs.  Then
+  the tiles make their pairs in parts, the first of about as many as rows, each
+  four times the share of the one before: a class outside a large group is
+  compared with a few of its members, and with more only while none links.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ COMMON = 100
 #: Keys per class and rounds of the first linking; most rounds of stars, and the share of pairs that must link for one more.
 LINK_KEYS, LINK_ROUNDS = 6, 2
 STAR_ROUNDS, STAR_SHARE = 6, 0.02
+#: Growth of the parts of the last tiles, and numbers that deal pairs to them (a power of it).
+PART, NUMBERS = 4, 1 << 40
 #: Rows held at a time in a task; more ids than this, of two numbers each, are not broadcast (4 MB).
 ROWS, BROADCAST_ROWS = 256, 250_000
 #: Counters of the order, four bytes each, whatever the corpus; a power of two.
@@ -214,7 +219,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, give: str, repeats: bo
 
 def _linked(pairs: DataFrame, bits: DataFrame, made: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Those of ``pairs`` (``a, b``: class ids) whose sets are similar: size, bitmaps (``cid, n, bits``), then exact
-    intersection of the sets that ``made`` gives (``cid, hashes``) for classes (``cid``)."""
+    intersection of the sets that ``made`` gives (``cid, hashes``) for classes (``cid``).
+
+    These sets are written while they are compared, so that no task runs two Python steps in a row.
+    """
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col("cid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in df.columns if c != "cid"])
 
@@ -240,10 +248,13 @@ def _linked(pairs: DataFrame, bits: DataFrame, made: Callable[[DataFrame], DataF
             .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
             .mapInArrow(bounded, "a bigint, b bigint"))
     near = cut_lineage(near, "near")
-    met = near
-    for name in ("a", "b"):
-        met = met.join(side(made(near.select(F.col(name).alias("cid")).distinct()), name), name)
-    return met.select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, "a bigint, b bigint")
+    ids = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
+    sets = cut_lineage(made(ids), "sets")
+    met = near.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+    out = cut_lineage(met.select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, "a bigint, b bigint"), "links")
+    release(sets)
+    release(near)
+    return out
 
 
 def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -286,21 +297,26 @@ def _with_groups(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
 
-def _tiles(rows: DataFrame, percent: int) -> DataFrame:
+def _tiles(rows: DataFrame, percent: int, part: int = 1, seen: int | None = None) -> DataFrame:
     """Pairs ``a < b`` of different groups that meet in a tile: same key, same or next band of sizes.
 
+    Only pairs whose numbers have a sum divisible by ``part`` meet, without those of ``seen``, a multiple of it.
+
     ``pos`` is the key's place in the order of the set.  If this is the first
     key that two sets share, what they share lies at and behind it; a similar
     pair has enough left there, and its first shared key says so.
     """
     step = math.log(100 / percent)
     band = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
-    left = rows.select("key", band.alias("band"), F.col("cid").alias("x"), F.col("comp").alias("comp_x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"))
-    right = rows.select("key", F.explode(F.array(band - 1, band)).alias("band"), band.alias("_own"), F.col("cid").alias("y"),
+    number = F.pmod(F.xxhash64("cid"), F.lit(NUMBERS))
+    left = rows.select("key", band.alias("band"), F.pmod(number, F.lit(part)).alias("part"), number.alias("_i"), F.col("cid").alias("x"), F.col("comp").alias("comp_x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"))
+    right = rows.select("key", F.explode(F.array(band - 1, band)).alias("band"), F.pmod(-number, F.lit(part)).alias("part"), number.alias("_j"),
+                        band.alias("_own"), F.col("cid").alias("y"),
                         F.col("comp").alias("comp_y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y"))
     left_over = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    met = left.join(right, ["key", "band"]).where(
-        (F.col("comp_x") != F.col("comp_y")) & ((F.col("_own") > F.col("band")) | (F.col("x") < F.col("y")))
+    new = F.lit(True) if seen is None else (F.col("_i") + F.col("_j")) % seen != 0
+    met = left.join(right, ["key", "band", "part"] if part > 1 else ["key", "band"]).where(
+        new & (F.col("comp_x") != F.col("comp_y")) & ((F.col("_own") > F.col("band")) | (F.col("x") < F.col("y")))
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
         & ((100 + percent) * left_over >= percent * (F.col("n_x") + F.col("n_y"))))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -329,6 +345,35 @@ def _stars(rows: DataFrame, comp: DataFrame, linked: Callable[[DataFrame], DataF
     return comp
 
 
+def _joined(rows: DataFrame, comp: DataFrame, linked: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Groups (``cid, comp``) after all pairs of the tiles of ``rows`` (``key, cid, n, pos``), in parts.
+
+    Every pair has one part.  Pairs whose groups an earlier part has joined are not made, nor rows of keys with one group left.
+    """
+    sizes = _with_groups(rows, comp).groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    most = sizes.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p")).agg(F.sum("p")).first()[0] or 0
+    # a pair may meet at each of its keys: as many as a class has, on average
+    n, classes = rows.count(), rows.select("cid").distinct().count()
+    part, seen = 1, None
+    while most * classes > n * n * part and part < NUMBERS:
+        part *= PART
+    while True:
+        now = _with_groups(rows, comp)
+        apart = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        now = cut_lineage(now.join(apart.select("key"), "key"), "apart")
+        pairs = cut_lineage(_tiles(now, percent, part, seen), "pairs")
+        if pairs.limit(1).count():
+            links = linked(pairs)
+            comp = _merged(comp, links)
+            release(links)
+        more = part > 1 and now.limit(1).count()
+        release(pairs)
+        release(now)
+        if not more:
+            return comp
+        part, seen = part // PART, part
+
+
 def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """``doc_id, n, cid`` of every row, and ``cid, doc_id, comp`` of every class (its smallest id, its group)."""
     docs = docs.select("doc_id", "text")
@@ -350,7 +395,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         return _sets(docs, ids.join(classes, "cid"), words, "hashes", repeats)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return cut_lineage(_linked(pairs, bits, made, percent), "links")
+        return _linked(pairs, bits, made, percent)
 
     links = []
     comp = None
@@ -380,12 +425,10 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     hard = grouped.join(spread.where(F.col("groups") > COMMON), "key").select("cid").distinct()
     hard = cut_lineage(hard, "hard")
     release(grouped)
+    comp = _merged(comp, links[-1])
     if hard.limit(1).count():
-        comp, links = _merged(comp, links[-1]), []
         rare = _rare_first(_sets(docs, hard.join(classes, "cid"), words, "key", repeats), percent)
-        comp = _stars(rare, comp, linked, percent)
-        links.append(linked(cut_lineage(_tiles(_with_groups(rare, comp), percent), "pairs")))
-    comp = _merged(comp, links[-1])
+        comp = _joined(rare, _stars(rare, comp, linked, percent), linked, percent)
 
     return signed, classes.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 

@@ -174,6 +174,50 @@ def test_jaccard_second_order(spark, monkeypatch):
     assert Counter(tuple(r) for r in jaccard.near_duplicates(df).collect()) == components_of(rows)
 
 
+def near_copies_of_one(n, seed=4):
+    """Texts around one passage, a third too far from it: pairs that share keys grow with the square of ``n``."""
+    rng = np.random.default_rng(seed)
+    base, out = [f"w{i}" for i in range(150)], []
+    for i in range(n):
+        words = base.copy()
+        for at in rng.integers(0, 140, int(rng.integers(1, 4))):
+            words[at:at + int(rng.integers(1, 5))] = [f"x{i}y{at}"]
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_jaccard_large_group_makes_few_pairs(spark, monkeypatch):
+    rows, made, linked = near_copies_of_one(700), [], jaccard._linked
+
+    def counted(pairs, *args):
+        made.append(pairs.count())
+        return linked(pairs, *args)
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    got = Counter(tuple(r) for r in jaccard.near_duplicates(table(spark, [(*r, "en") for r in rows])).collect())
+    assert got == components_of(rows)
+    assert sum(made) <= 80 * len(rows)
+
+
+def test_jaccard_outsiders_meet_few_members(spark):
+    rows = spark.range(1100).select(F.lit(1).alias("key"), F.col("id").alias("cid"), F.lit(100).alias("n"), F.lit(0).alias("pos"))
+    comp, made = spark.range(1000).select(F.col("id").alias("cid"), F.lit(0).cast("long").alias("comp")), []
+
+    def linked(pairs):
+        made.append(pairs.count())
+        return pairs.where("a < 1000 and b >= 1000 and (a + b) % 10 = 0")
+    assert jaccard._tiles(jaccard._with_groups(rows, comp), 80).count() == 104_950
+    assert {r.comp for r in jaccard._joined(rows, comp, linked, 80).collect()} == {0} and sum(made) < 20_000
+
+
+def test_jaccard_parts_make_every_pair_once(spark):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(int(k), c, int(c % 7), 30 + c % 5, 0) for c in range(90) for k in rng.integers(0, 3, 2)],
+                                 "key long, cid long, comp long, n long, pos long").distinct()
+    pairs = lambda *part: [tuple(r) for r in jaccard._tiles(rows, 80, *part).collect()]
+    parts = [pairs(16), pairs(4, 16), pairs(1, 4)]
+    assert sorted(sum(parts, [])) == sorted(pairs()) and len(parts[0]) < len(parts[1]) < len(parts[2])
+
+
 def test_jaccard_second_order_with_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COMMON", 2)
     passage = [f"p{i}" for i in range(60)]
